@@ -98,11 +98,11 @@ def _sql() -> str:
 WITH known(template, size, gram) AS (VALUES {rows}),
 d AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) AS r, coalesce(text, '') AS text FROM documents),
 u AS (SELECT r, unnest(CASE WHEN contains(text, chr(10)) THEN list_append(string_split(text, chr(10)), text) ELSE [text] END) AS line, generate_subscripts(CASE WHEN contains(text, chr(10)) THEN list_append(string_split(text, chr(10)), text) ELSE [text] END, 1) AS unit FROM d),
-w AS (SELECT r, unit, list_filter(string_split(regexp_replace(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^a-z0-9]+', ' ', 'g'), ' '), x -> x <> '') AS w FROM u),
-g AS (SELECT r, unit, list_distinct(list_transform(range(1, len(w)), i -> w[i] || ' ' || w[i + 1])) AS grams FROM w WHERE len(w) > 1),
+w AS (SELECT r, unit, list_filter(string_split(regexp_replace(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^a-z0-9]+', ' ', 'g'), ' '), lambda x: x <> '') AS w FROM u),
+g AS (SELECT r, unit, list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS grams FROM w WHERE len(w) > 1),
 f AS (SELECT r, unit, len(grams) AS n, grams FROM g WHERE len(grams) BETWEEN {low} * 2.0 / 3 - 1 AND {high} * 1.5 + 1),
 e AS (SELECT r, unit, n, unnest(grams) AS gram FROM f),
-m AS (SELECT r, unit, n, template, size, 2.0::DOUBLE * count(*) / (n + size) AS dice FROM e JOIN known USING (gram) GROUP BY ALL),
+m AS (SELECT r, unit, n, template, size, 2.0::DOUBLE * count(*) / (n + size) AS dice FROM e JOIN known USING (gram) GROUP BY r, unit, n, template, size),
 b AS (SELECT r, min({{'d': -dice, 't': template}}) AS b, count(DISTINCT template) AS n_found FROM m WHERE dice >= {THRESHOLD}::DOUBLE GROUP BY r)
 SELECT d.doc_id, b.b.t AS template, round(-b.b.d, 9) AS dice, CAST(coalesce(b.n_found, 0) AS BIGINT) AS n_found FROM d LEFT JOIN b ON d.r = b.r
 """

@@ -99,13 +99,14 @@ class Model:
         return float(1 / (1 + np.exp(-np.clip(z, -30, 30))))
 
 
-def fit(rows: list[np.ndarray], y: np.ndarray, pairs=(), steps: int = 250, ridge: float = 1e-4, fairness: float = 10.0, least: int = 3) -> Model:
+def fit(rows: list[np.ndarray], y: np.ndarray, pairs=(), steps: int = 250, ridge: float = 1e-4, fairness: float = 10.0, chance: float = 0.8, shown: float = 0.8) -> Model:
     """Logistic model on the features that tell most, by full-batch Adam.
 
-    A feature is kept if at least ``least`` rows have it and its rate among toxic
-    rows is over that among others by 4 standard errors or more, so chance words
+    A feature is kept if its share of toxic rows exceeds what one of so many
+    features would reach by chance (binomial large-deviation bound), so accidents
     of long documents don't add up. Weights are not negative: benign words never
-    hide toxic ones. ``fairness`` weighs the squared change of a swapped score."""
+    hide toxic ones. Each step shows a row's features with chance ``shown``, so
+    that one of them can be enough. ``fairness`` weighs the squared change of a swapped score."""
     n, pos = len(y), float(y.sum())
     if not n or pos in (0, n):
         mean = (pos + 0.5) / (n + 1)
@@ -114,13 +115,12 @@ def fit(rows: list[np.ndarray], y: np.ndarray, pairs=(), steps: int = 250, ridge
     owner = np.repeat(np.arange(n), [len(r) for r in rows])
     total = np.bincount(flat, minlength=SPACE)
     toxic = np.bincount(flat, y[owner], minlength=SPACE)
-    rate = (total + 1) / (n + 2)
-    z = (toxic / pos - (total - toxic) / (n - pos)) / np.sqrt(rate * (1 - rate) * (1 / pos + 1 / (n - pos)))
-    z[(total < least) | (z < 4)] = 0
-    # and it must be toxic more often than not when seen, after smoothing
-    z[(toxic + pos / n) / (total + 1) < 0.4] = 0
-    kept = np.sort(np.argsort(-z, kind="stable")[:KEPT])
-    kept = kept[z[kept] > 0]
+    base = pos / n
+    q = np.clip(toxic / np.maximum(total, 1), 1e-9, 1 - 1e-9)
+    surprise = total * (q * np.log(q / base) + (1 - q) * np.log((1 - q) / (1 - base)))
+    surprise[(q < max(base, 0.3)) | (surprise < np.log(max(1, (total > 0).sum())) * chance)] = 0
+    kept = np.sort(np.argsort(-surprise, kind="stable")[:KEPT])
+    kept = kept[surprise[kept] > 0]
     place = np.full(SPACE, -1)
     place[kept] = np.arange(len(kept))
     use = place[flat] >= 0
@@ -132,10 +132,13 @@ def fit(rows: list[np.ndarray], y: np.ndarray, pairs=(), steps: int = 250, ridge
     balance = 0.5 * balance + 0.5 / n
     balance /= balance.sum()
     m = v = np.zeros(len(kept) + 1)
+    rng = np.random.default_rng(1)
     for t in range(1, steps + 1):
-        p = 1 / (1 + np.exp(-(b + np.bincount(row, w[col], n))))
+        on = rng.random(len(col)) < shown
+        c, r = col[on], row[on]
+        p = 1 / (1 + np.exp(-(b + np.bincount(r, w[c], n))))
         e = (p - y) * balance
-        g = np.append(np.bincount(col, e[row], len(kept)) + ridge * w, e.sum())
+        g = np.append(np.bincount(c, e[r], len(kept)) + ridge * w, e.sum())
         for change in swapped:
             d = sum(w[j] * s for j, s in change)
             for j, s in change:
