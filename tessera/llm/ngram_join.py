@@ -22,6 +22,7 @@ need no further proof, so a group of copies costs a chain, not all pairs.
 from __future__ import annotations
 
 import heapq
+import math
 from bisect import bisect_left
 from collections.abc import Iterator
 
@@ -224,15 +225,21 @@ def _describe(k: int, percent: int, levels):
 
 
 def _sets(k: int):
+    """Sets of texts that have the digest asked for; rows are sorted by node, of
+    repeated rows one is given."""
+
     def run(batches):
-        cache = WordHashes()
+        cache, last = WordHashes(), None
         for batch in batches:
             node, want, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist(), strings(batch.column(2))
             for i in range(0, len(texts), 2000):
                 keep, sets = [], []
                 for a, d, t in zip(node[i : i + 2000], want[i : i + 2000], texts[i : i + 2000]):
+                    if a == last:
+                        continue
                     s = shingles(t, k, cache)
                     if xxhash.xxh3_128_digest(s.tobytes()) == d:
+                        last = a
                         keep.append(a)
                         sets.append(s.view(np.int64))
                 if keep:
@@ -292,16 +299,29 @@ def ngram_components(docs: DataFrame, k: int = 5, percent: int = 80, block_size:
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("doc_id"), F.col("row").alias("row")))
     classes = materialize(full.groupBy("digest").agg(first.alias("first"), F.count("*").alias("size")).select("digest", F.col("first.row").alias("node"), F.col("first.doc_id").alias("least"), "size"), "classes")
 
-    postings = rows.select(F.col("row").alias("node"), "keys").join(classes.select("node"), "node", "left_semi").select(F.explode("keys").alias("key"), "node")
+    # later rows of a class are few or the filter tells them apart: keys of the
+    # others need no shuffle here
+    later = full.join(classes.filter("size > 1").select("digest", F.col("node").alias("head")), "digest").filter("row <> head").select("row")
+    later = materialize(later, "later")
+    maybe = maybe_in(later.select(F.xxhash64("row")))(F.xxhash64("row"))
+    keyed = rows.select("row", "n_shingles", "keys")
+    keyed = keyed.filter(~maybe).union(keyed.filter(maybe).join(later, "row", "left_anti"))
+
+    # sizes of linked documents differ by one band at most: each document is
+    # dealt to its band and the next
+    band = F.floor(F.log(F.col("n_shingles").cast("double")) / (1.0001 * math.log(100 / percent))).cast("int") if percent < 100 else F.col("n_shingles").cast("int")
+    postings = keyed.filter("n_shingles > 0").select(F.col("row").alias("node"), F.explode("keys").alias("key"), band.alias("band"))
+    postings = postings.select("node", F.explode(F.array(F.xxhash64("key", "band"), F.xxhash64("key", F.col("band") + 1))).alias("key")).repartition("key")
     shared = postings.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("block")).filter("n > 1").select("key", "block")
     pairs = materialize(postings.join(shared, "key").select("block", "node").distinct(), "blocks")
 
     need = pairs.select("node").distinct().join(classes.select("node", "digest"), "node").join(rows.select(F.col("row").alias("node"), "doc_id"), "node")
-    need = materialize(need, "need")
-    wanted = maybe_in(need.select(F.xxhash64("doc_id")))
-    few = docs.withColumnRenamed("doc_id", "id").filter(wanted(F.xxhash64("id")))
-    texts = need.join(few, F.col("doc_id").eqNullSafe(F.col("id"))).select("node", "digest", "text")
-    sets = materialize(texts.mapInArrow(_sets(k), "node long, items array<long>").dropDuplicates(["node"]), "items")
+    key = (F.coalesce("doc_id", F.lit(0)).alias("id"), F.col("doc_id").isNull().alias("none"))
+    need = materialize(need.select("node", "digest", *key), "need")
+    wanted = maybe_in(need.select(F.xxhash64("id", "none")))
+    few = docs.select("text", *key).filter(wanted(F.xxhash64("id", "none")))
+    texts = need.join(few, ["id", "none"]).select("node", "digest", "text").sortWithinPartitions("node")
+    sets = materialize(texts.mapInArrow(_sets(k), "node long, items array<long>"), "items")
 
     sizes = pairs.groupBy("block").agg(F.count("*").alias("n")).select("block", F.ceil(F.col("n") / block_size).cast("int").alias("parts"))
     dealt = materialize(pairs.join(sizes, "block").withColumn("part", F.expr("pmod(xxhash64(node), parts)").cast("int")), "dealt")
