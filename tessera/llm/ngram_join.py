@@ -36,7 +36,8 @@ from tessera.llm.common import components, materialize, maybe_in, strings
 
 _M = np.uint64(0x9E3779B97F4A7C15)
 _A = np.uint64(0xBF58476D1CE4E5B9)
-SKETCH_BITS = 20
+#: buckets of the count sketch; more tell rare from rarer in larger corpora
+SKETCH_BITS = 24
 CHUNK = 1 << 16
 
 
@@ -164,19 +165,17 @@ def search_block(rows: list[tuple[int, int, bool, np.ndarray]], percent: int) ->
 
 def _sketch(k: int):
     def run(batches):
-        cache, counts = WordHashes(), np.zeros(1 << SKETCH_BITS, np.int64)
+        cache, counts = WordHashes(), np.zeros(1 << SKETCH_BITS, np.uint32)
         shift = np.uint64(64 - SKETCH_BITS)
         for batch in batches:
             texts = strings(batch.column(0))
-            for i in range(0, len(texts), 2000):
-                got = [shingles(t, k, cache) >> shift for t in texts[i : i + 2000]]
-                if got:
-                    counts += np.bincount(np.concatenate(got).astype(np.int64), minlength=1 << SKETCH_BITS)
-        small = np.minimum(counts, 65535).astype(np.uint16)
-        for c in range(len(small) // CHUNK):
-            part = small[c * CHUNK : (c + 1) * CHUNK]
+            for i in range(0, len(texts), 1000):
+                got = [shingles(t, k, cache) >> shift for t in texts[i : i + 1000]]
+                np.add.at(counts, np.concatenate(got).astype(np.int64), np.uint32(1))
+        for c in range(len(counts) // CHUNK):
+            part = counts[c * CHUNK : (c + 1) * CHUNK]
             if part.any():
-                yield pa.RecordBatch.from_arrays([pa.array([c], pa.int32()), pa.array([part.tobytes()], pa.binary())], ["chunk", "counts"])
+                yield pa.RecordBatch.from_arrays([pa.array([c], pa.int32()), pa.array([np.minimum(part, 255).astype(np.uint8).tobytes()], pa.binary())], ["chunk", "counts"])
 
     return run
 
@@ -185,18 +184,17 @@ def _merge_sketch(batches):
     total: dict[int, np.ndarray] = {}
     for batch in batches:
         for c, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            total[c] = total.get(c, 0) + np.frombuffer(b, np.uint16).astype(np.int64)
+            total[c] = total.get(c, 0) + np.frombuffer(b, np.uint8).astype(np.int64)
     for c, x in total.items():
-        level = (2 * np.log2(x + 1)).astype(np.uint8)
+        level = np.minimum(8 * np.log2(x + 1), 255).astype(np.uint8)
         yield pa.RecordBatch.from_arrays([pa.array([c], pa.int32()), pa.array([level.tobytes()], pa.binary())], ["chunk", "levels"])
 
 
 def frequency_levels(texts: DataFrame, k: int) -> np.ndarray:
-    """A byte for each of 2**SKETCH_BITS buckets of shingles: twice the binary
-    logarithm of the number of documents in it. 1 MB at any input size. Counts
-    of a task stop at 65535; they only order shingles, any order is exact."""
-    n = (1 << SKETCH_BITS) // CHUNK
-    rows = texts.mapInArrow(_sketch(k), "chunk int, counts binary").repartition(n, "chunk").mapInArrow(_merge_sketch, "chunk int, levels binary").collect()
+    """A byte for each of 2**SKETCH_BITS buckets of shingles: eight times the binary
+    logarithm of the number of documents in it. 16 MB at any input size. Counts
+    of a task stop at 255; they only order shingles, any order is exact."""
+    rows = texts.mapInArrow(_sketch(k), "chunk int, counts binary").repartition(32, "chunk").mapInArrow(_merge_sketch, "chunk int, levels binary").collect()
     out = np.zeros(1 << SKETCH_BITS, np.uint8)
     for r in rows:
         out[r.chunk * CHUNK : (r.chunk + 1) * CHUNK] = np.frombuffer(r.levels, np.uint8)
