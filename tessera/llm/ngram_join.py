@@ -36,9 +36,14 @@ from tessera.llm.common import components, materialize, maybe_in, strings
 
 _M = np.uint64(0x9E3779B97F4A7C15)
 _A = np.uint64(0xBF58476D1CE4E5B9)
-#: buckets of the count sketch; more tell rare from rarer in larger corpora
-SKETCH_BITS = 24
+#: The count sketch has 2**SKETCH_BITS places of two bits (32 MB) for the shingles
+#: of one hash class in four. More bits tell rare from rarer in larger corpora;
+#: they only order shingles, results are exact with any order.
+SKETCH_BITS = 27
 CHUNK = 1 << 16
+_SHIFT, _CLASS = np.uint64(64 - SKETCH_BITS), np.uint64(3)
+#: rank of shingles by level (once, 2 to 7, 8 to 63 documents, more); not counted
+RANKS, UNCOUNTED = np.array([0, 1, 2, 4], np.uint64), np.uint64(3)
 
 
 class WordHashes(dict):
@@ -163,19 +168,33 @@ def search_block(rows: list[tuple[int, int, bool, np.ndarray]], percent: int) ->
 # -- distributed steps --------------------------------------------------------
 
 
+def _places(s: np.ndarray) -> np.ndarray:
+    return (s[(s & _CLASS) == 0] >> _SHIFT).astype(np.uint32)
+
+
 def _sketch(k: int):
+    """Places of a task's shingles, each as often as it occurs but 64 times at
+    most per 4 million, by chunk."""
+
+    def told(places):
+        places, counts = np.unique(np.concatenate(places), return_counts=True)
+        places = np.repeat(places, np.minimum(counts, 64))
+        chunks = places // CHUNK
+        starts = np.flatnonzero(np.diff(chunks, prepend=-1))
+        low = (places % CHUNK).astype(np.uint16)
+        return pa.RecordBatch.from_arrays([pa.array(chunks[starts], pa.int32()), pa.array([x.tobytes() for x in np.split(low, starts[1:])], pa.binary())], ["chunk", "low"])
+
     def run(batches):
-        cache, counts = WordHashes(), np.zeros(1 << SKETCH_BITS, np.uint32)
-        shift = np.uint64(64 - SKETCH_BITS)
+        cache, held, n = WordHashes(), [], 0
         for batch in batches:
-            texts = strings(batch.column(0))
-            for i in range(0, len(texts), 1000):
-                got = [shingles(t, k, cache) >> shift for t in texts[i : i + 1000]]
-                np.add.at(counts, np.concatenate(got).astype(np.int64), np.uint32(1))
-        for c in range(len(counts) // CHUNK):
-            part = counts[c * CHUNK : (c + 1) * CHUNK]
-            if part.any():
-                yield pa.RecordBatch.from_arrays([pa.array([c], pa.int32()), pa.array([np.minimum(part, 255).astype(np.uint8).tobytes()], pa.binary())], ["chunk", "counts"])
+            for t in strings(batch.column(0)):
+                held.append(_places(shingles(t, k, cache)))
+                n += len(held[-1])
+                if n > 4_000_000:
+                    yield told(held)
+                    held, n = [], 0
+        if n:
+            yield told(held)
 
     return run
 
@@ -184,27 +203,37 @@ def _merge_sketch(batches):
     total: dict[int, np.ndarray] = {}
     for batch in batches:
         for c, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            total[c] = total.get(c, 0) + np.frombuffer(b, np.uint8).astype(np.int64)
+            if c not in total:
+                total[c] = np.zeros(CHUNK, np.uint32)
+            total[c] += np.bincount(np.frombuffer(b, np.uint16), minlength=CHUNK).astype(np.uint32)
     for c, x in total.items():
-        level = np.minimum(8 * np.log2(x + 1), 255).astype(np.uint8)
-        yield pa.RecordBatch.from_arrays([pa.array([c], pa.int32()), pa.array([level.tobytes()], pa.binary())], ["chunk", "levels"])
+        level = np.searchsorted([1, 7, 63], x).astype(np.uint8).reshape(-1, 4)
+        packed = level[:, 0] | level[:, 1] << 2 | level[:, 2] << 4 | level[:, 3] << 6
+        yield pa.RecordBatch.from_arrays([pa.array([c], pa.int32()), pa.array([packed.tobytes()], pa.binary())], ["chunk", "levels"])
 
 
 def frequency_levels(texts: DataFrame, k: int) -> np.ndarray:
-    """A byte for each of 2**SKETCH_BITS buckets of shingles: eight times the binary
-    logarithm of the number of documents in it. 16 MB at any input size. Counts
-    of a task stop at 255; they only order shingles, any order is exact."""
-    rows = texts.mapInArrow(_sketch(k), "chunk int, counts binary").repartition(32, "chunk").mapInArrow(_merge_sketch, "chunk int, levels binary").collect()
-    out = np.zeros(1 << SKETCH_BITS, np.uint8)
-    for r in rows:
-        out[r.chunk * CHUNK : (r.chunk + 1) * CHUNK] = np.frombuffer(r.levels, np.uint8)
+    """Two bits for each place of shingles: in how many documents they are.
+    Fixed size at any input size; a task's counts stop at 64."""
+    merged = texts.mapInArrow(_sketch(k), "chunk int, low binary").repartition(32, "chunk").mapInArrow(_merge_sketch, "chunk int, levels binary")
+    out = np.zeros(1 << SKETCH_BITS - 2, np.uint8)
+    for r in merged.toLocalIterator():
+        out[r.chunk * CHUNK // 4 : (r.chunk + 1) * CHUNK // 4] = np.frombuffer(r.levels, np.uint8)
     return out
 
 
+def rank(s: np.ndarray, levels: np.ndarray) -> np.ndarray:
+    """The same order of shingles for all documents: rare ones first, then by hash."""
+    out = np.full(len(s), UNCOUNTED)
+    counted = (s & _CLASS) == 0
+    places = (s[counted] >> _SHIFT).astype(np.int64)
+    out[counted] = RANKS[levels[places >> 2] >> (2 * (places & 3)).astype(np.uint8) & 3]
+    return out << np.uint64(56) | s >> np.uint64(8)
+
+
 def _describe(k: int, percent: int, levels):
     def run(batches):
         cache, level = WordHashes(), levels.value
-        shift = np.uint64(64 - SKETCH_BITS)
         for batch in batches:
             ids, texts = batch.column(0), strings(batch.column(1))
             for i in range(0, len(texts), 2000):
@@ -214,8 +243,7 @@ def _describe(k: int, percent: int, levels):
                     n.append(len(s))
                     digest.append(xxhash.xxh3_128_digest(s.tobytes()))
                     p = len(s) - least_overlap(len(s), percent) + 1 if len(s) else 0
-                    order = np.argsort((level[s >> shift].astype(np.uint64) << np.uint64(56)) | (s >> np.uint64(8)))
-                    keys.append(s[order[:p]].view(np.int64))
+                    keys.append(s[np.argsort(rank(s, level))[:p]].view(np.int64))
                 ends = np.cumsum([0, *map(len, keys)]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([ids.slice(i, len(n)), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(keys)))], ["doc_id", "n_shingles", "digest", "keys"])
 
