@@ -50,7 +50,7 @@ class WordHashes(dict):
     """64-bit hash of each word, kept for the words seen last."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 400_000:
+        if len(self) > 200_000:
             self.clear()
         self[word] = h = xxhash.xxh3_64_intdigest(word)
         return h
@@ -321,6 +321,7 @@ def ngram_components(docs: DataFrame, k: int = 5, percent: int = 80, block_size:
     levels = spark.sparkContext.broadcast(frequency_levels(docs.select("text"), k))
     rows = docs.mapInArrow(_describe(k, percent, levels), "doc_id long, n_shingles long, digest binary, keys array<long>")
     rows = materialize(rows.withColumn("row", F.monotonically_increasing_id()), "sets")
+    levels.destroy()  # or Python workers would keep it
     full = rows.filter("n_shingles > 0")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("doc_id"), F.col("row").alias("row")))
     classes = materialize(full.groupBy("digest").agg(first.alias("first"), F.count("*").alias("size")).select("digest", F.col("first.row").alias("node"), F.col("first.doc_id").alias("least"), "size"), "classes")
