@@ -2,5 +2,8 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE: dict[str, str] = {}
+from tessera.plans import queries as _queries
+from tessera.plans.oracle import ORACLE
+
+NAMES = [*ORACLE, "clip_segments", "label_layout", "gesture_session"]
+QUERIES = {name: getattr(_queries, name) for name in NAMES}
