@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm import quality, toxicity
 from tessera.llm.common import materialize, table
-from tessera.llm.exact_dedup import deduplicate
+from tessera.llm.exact_dedup import deduplicate, normalized
 from tessera.llm.ngram_join import ngram_components
 from tessera.llm.packing import pack_pow2
 
@@ -32,14 +32,21 @@ def keep_civil(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts, the row with the least doc_id stays."""
-    gone = deduplicate(docs).filter(~F.col("kept")).select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    """Of equal texts, the row with the least doc_id stays; of repeated rows with
+    that id, one. Rows without an id stay only if no equal text has one."""
+    found = materialize(deduplicate(docs).filter(~F.col("kept")).select("doc_id", "keep_id", "text_sha256"), "copies")
+    sha = F.sha2(normalized(F.col("text")).cast("binary"), 256)
+    gone = found.filter(~F.col("doc_id").eqNullSafe(F.col("keep_id")))
+    left = docs.join(gone.select("doc_id").distinct(), docs["doc_id"].eqNullSafe(gone["doc_id"]), "left_anti")
+    again = found.filter(F.col("doc_id").eqNullSafe(F.col("keep_id"))).select("doc_id").distinct()
+    same = left["doc_id"].eqNullSafe(again["doc_id"])
+    repeats = left.join(again, same, "left_semi").withColumn("__sha", sha).dropDuplicates(["doc_id", "__sha"]).drop("__sha")
+    return left.join(again, same, "left_anti").unionByName(repeats).select(docs.columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents linked by 0.8 or more of their five-word shingles, the one
-    with the least doc_id stays."""
+    with the least doc_id stays. Rows without an id stay."""
     gone = ngram_components(docs, k=5, percent=80).filter("component_id <> doc_id").select("doc_id")
     return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
 

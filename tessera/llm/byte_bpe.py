@@ -14,7 +14,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import strings
+from tessera.llm.common import strings, text_batches
 from tessera.llm.transducer import Transducer
 
 
@@ -161,6 +161,7 @@ def encode_documents(docs: DataFrame, ranks: str | None = None, pattern: str = p
     pattern, so decoding gives the text back. Repeated rows give repeated rows,
     an empty table an empty one; other columns are ignored. Nothing is shuffled.
     """
+    text_batches(docs.sparkSession)
     path = ranks or public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_run(path, pattern, with_ids), SCHEMA)
 

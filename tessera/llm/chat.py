@@ -20,9 +20,7 @@ def _half(at: int):
 
 
 def collapse_and_render(conversations: DataFrame) -> DataFrame:
-    """conv_id, n_turns, snapshots (conversations that are equal to it or proper
-    prefixes of a kept one with this first turn count for the kept one itself
-    only when equal), rendered.
+    """conv_id, n_turns, snapshots (how many conversations equal it), rendered.
 
     Turns are ordered by turn, then role, text. Null role or text counts as
     empty, a null turn comes first; rows without conv_id belong to none and are

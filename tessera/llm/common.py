@@ -36,6 +36,14 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def text_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Send Python at most ``rows`` texts at a time: batches of Spark's default
+    count of long texts would fill an executor's memory."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= rows:
+        spark.conf.set(name, rows)
+
+
 def strings(column: pa.Array) -> list[str]:
     """Texts of an Arrow column, null as empty."""
     return [x if x is not None else "" for x in column.to_pylist()]

@@ -39,18 +39,22 @@ def stream_state(spark: SparkSession, path: str, schema, files_per_trigger: int
     source = spark.readStream.schema(schema)
     if files_per_trigger:
         source = source.option("maxFilesPerTrigger", files_per_trigger)
-    out, name = scratch(spark, "dedup-state"), "spark.sql.streaming.stateStore.providerClass"
-    before = spark.conf.get(name, None)
+    out, base = scratch(spark, "dedup-state"), "spark.sql.streaming.stateStore."
+    # many stores share an executor: bound the memory of all of them together
+    wanted = {base + "providerClass": ROCKSDB, base + "rocksdb.boundedMemoryUsage": "true", base + "rocksdb.maxMemoryUsageMB": "128"}
+    before = {name: spark.conf.get(name, None) for name in wanted}
 
     def save(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{out}/batch={number}")
 
-    spark.conf.set(name, ROCKSDB)
+    for name, value in wanted.items():
+        spark.conf.set(name, value)
     try:
         query = fold(source.parquet(path)).writeStream.outputMode("update").foreachBatch(save).option("checkpointLocation", scratch(spark, "dedup-stream")).trigger(availableNow=True).start()
         query.awaitTermination()
     finally:
-        spark.conf.set(name, before) if before else spark.conf.unset(name)
+        for name, value in before.items():
+            spark.conf.unset(name) if value is None else spark.conf.set(name, value)
     shape = "key string, first struct<none: boolean, doc_id: bigint, row: bigint, file: string>, n bigint, batch int"
     told = spark.read.schema(shape).option("basePath", out).option("recursiveFileLookup", "false").parquet(out)
     if files_per_trigger:  # a key is told again in each batch that touches it

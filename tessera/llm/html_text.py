@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import materialize, strings
+from tessera.llm.common import materialize, strings, text_batches
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes noscript".split())
@@ -189,6 +189,7 @@ def extract_main_text(pages: DataFrame, max_paths: int = 8) -> DataFrame:
     with none of them uses its own. Null html gives empty text; null or odd urls
     share the host "". Repeated rows stay; other columns are ignored.
     """
+    text_batches(pages.sparkSession)
     voted = F.pandas_udf(_votes, "struct<path: string, points: double>")
     cols = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), "html")
     votes = cols.select(host(F.col("url")).alias("host"), voted("html").alias("v")).groupBy("host", "v.path").agg(F.count("*").alias("votes"), F.sum("v.points").alias("points"))

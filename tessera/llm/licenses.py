@@ -77,7 +77,8 @@ def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, threshold: floa
     units = units.filter(F.length("line") >= 2 * int(least) + 1)
     words = F.filter(F.split("line", "[^a-z0-9]+"), lambda w: w != "")
     units = units.select("row", "unit", words.alias("w")).filter(F.size("w") - 1 >= least)
-    pairs = F.array_distinct(F.zip_with(F.slice("w", 1, F.size("w") - 1), F.slice("w", 2, F.size("w") - 1), lambda a, b: F.concat(a, F.lit(" "), b)))
+    most = F.greatest(F.size("w") - 1, F.lit(0))
+    pairs = F.array_distinct(F.zip_with(F.slice("w", F.lit(1), most), F.slice("w", F.lit(2), most), lambda a, b: F.concat(a, F.lit(" "), b)))
     units = units.select("row", "unit", pairs.alias("grams")).withColumn("n", F.size("grams"))
     fits = F.lit(False)
     for a, b in bounds:

@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import components, materialize, maybe_in, strings
+from tessera.llm.common import components, materialize, maybe_in, strings, text_batches
 
 _M = np.uint64(0x9E3779B97F4A7C15)
 _A = np.uint64(0xBF58476D1CE4E5B9)
@@ -174,7 +174,7 @@ def _places(s: np.ndarray) -> np.ndarray:
 
 def _sketch(k: int):
     """Places of a task's shingles, each as often as it occurs but 64 times at
-    most per 4 million, by chunk."""
+    most per million, by chunk."""
 
     def told(places):
         places, counts = np.unique(np.concatenate(places), return_counts=True)
@@ -190,7 +190,7 @@ def _sketch(k: int):
             for t in strings(batch.column(0)):
                 held.append(_places(shingles(t, k, cache)))
                 n += len(held[-1])
-                if n > 4_000_000:
+                if n > 1_000_000:
                     yield told(held)
                     held, n = [], 0
         if n:
@@ -317,6 +317,7 @@ def ngram_components(docs: DataFrame, k: int = 5, percent: int = 80, block_size:
     Shingles are compared by 64-bit hashes.
     """
     spark = docs.sparkSession
+    text_batches(spark)
     docs = docs.select("doc_id", "text")
     levels = spark.sparkContext.broadcast(frequency_levels(docs.select("text"), k))
     rows = docs.mapInArrow(_describe(k, percent, levels), "doc_id long, n_shingles long, digest binary, keys array<long>")

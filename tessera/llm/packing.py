@@ -18,7 +18,7 @@ import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import strings
+from tessera.llm.common import strings, text_batches
 
 END = 1
 MAX_LENGTH = 2048
@@ -131,6 +131,7 @@ def pack_pow2(docs: DataFrame, tokenizer: str | None = None, max_length: int = M
     """
     if max_length < 1 or max_length & (max_length - 1):
         raise ValueError("max_length must be a power of two")
+    text_batches(docs.sparkSession)
     path = tokenizer or public_tokenizers.path("word_bpe_49k.json")
     rows = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_pack(path, max_length, with_ids), SCHEMA)
     return rows.withColumn("sequence_id", F.monotonically_increasing_id()).withColumn("offset", F.lit(0).cast("long"))

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import held_out, sample_labels, strings
+from tessera.llm.common import held_out, sample_labels, strings, text_batches
 
 #: labelled rows that a fit takes at most, in the order of a hash of the id
 SAMPLE = 20_000
@@ -117,6 +117,7 @@ def fit(x: np.ndarray, y: np.ndarray, trees: int = 60, depth: int = 4, bins: int
 
 def fit_labels(docs: DataFrame, labels: DataFrame, keep: Column | None = None, limit: int = SAMPLE) -> Trees:
     """Fit on at most ``limit`` labelled documents."""
+    text_batches(docs.sparkSession)
     chosen = F.broadcast(sample_labels(labels, "quality", keep, limit))
     named = docs.select("doc_id", "text").join(chosen, "doc_id")
 
@@ -135,6 +136,7 @@ def fit_labels(docs: DataFrame, labels: DataFrame, keep: Column | None = None, l
 def with_score(docs: DataFrame, model: Trees, name: str = "score") -> DataFrame:
     """``docs`` with the probability that the text is good. Null is scored as
     empty text; repeated rows get equal scores."""
+    text_batches(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("double")

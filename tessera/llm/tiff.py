@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import strings
+from tessera.llm.common import strings, text_batches
 
 # Fixed values of the format: tags, sizes of field types, compression schemes.
 WIDTH, LENGTH, BITS, COMPRESSION, PHOTOMETRIC, STRIP_OFFSETS, SAMPLES, ROWS_PER_STRIP, STRIP_BYTES, PLANAR, PREDICTOR, TILE_WIDTH, TILE_LENGTH, TILE_OFFSETS, TILE_BYTES = 256, 257, 258, 259, 262, 273, 277, 278, 279, 284, 317, 322, 323, 324, 325
@@ -236,6 +236,7 @@ def _store(batches):
 
 def store_texts(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, media: each text as a TIFF file, null as empty."""
+    text_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_store, "doc_id long, n_bytes long, media binary")
 
 

@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import held_out, sample_labels, strings
+from tessera.llm.common import held_out, sample_labels, strings, text_batches
 
 #: labelled rows that a fit takes at most, in the order of a hash of the id
 SAMPLE = 12_000
@@ -152,6 +152,7 @@ def fit(rows: list[np.ndarray], y: np.ndarray, pairs=(), steps: int = 250, ridge
 def fit_labels(docs: DataFrame, labels: DataFrame, keep: Column | None = None, limit: int = SAMPLE) -> Model:
     """Fit on at most ``limit`` labelled documents, of which only hashed features
     come to the driver."""
+    text_batches(docs.sparkSession)
     chosen = F.broadcast(sample_labels(labels, "toxic", keep, limit))
     named = docs.select("doc_id", "text").join(chosen, "doc_id")
     terms = {t.encode() for group in IDENTITY for t in group}
@@ -174,6 +175,7 @@ def fit_labels(docs: DataFrame, labels: DataFrame, keep: Column | None = None, l
 def with_score(docs: DataFrame, model: Model, name: str = "score") -> DataFrame:
     """``docs`` with the probability that the text is toxic. Null is scored as
     empty text; repeated rows get equal scores."""
+    text_batches(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast(model)
     cache: dict[bytes, tuple[int, ...]] = {}
 
