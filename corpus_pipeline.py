@@ -37,10 +37,11 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     found = materialize(deduplicate(docs).filter(~F.col("kept")).select("doc_id", "keep_id", "text_sha256"), "copies")
     sha = F.sha2(normalized(F.col("text")).cast("binary"), 256)
     gone = found.filter(~F.col("doc_id").eqNullSafe(F.col("keep_id")))
-    left = docs.join(gone.select("doc_id").distinct(), docs["doc_id"].eqNullSafe(gone["doc_id"]), "left_anti")
+    marked = docs.withColumn("__sha", sha)
+    left = marked.join(gone, (marked["__sha"] == gone["text_sha256"]) & marked["doc_id"].eqNullSafe(gone["doc_id"]), "left_anti")
     again = found.filter(F.col("doc_id").eqNullSafe(F.col("keep_id"))).select("doc_id").distinct()
     same = left["doc_id"].eqNullSafe(again["doc_id"])
-    repeats = left.join(again, same, "left_semi").withColumn("__sha", sha).dropDuplicates(["doc_id", "__sha"]).drop("__sha")
+    repeats = left.join(again, same, "left_semi").dropDuplicates(["doc_id", "__sha"])
     return left.join(again, same, "left_anti").unionByName(repeats).select(docs.columns)
 
 
