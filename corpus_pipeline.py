@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import quality, toxicity
-from tessera.llm.common import materialize, table
+from tessera.llm.common import materialize, table, without
 from tessera.llm.exact_dedup import deduplicate, normalized
 from tessera.llm.ngram_join import ngram_components
 from tessera.llm.packing import pack_pow2
@@ -36,20 +36,20 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     that id, one. Rows without an id stay only if no equal text has one."""
     found = materialize(deduplicate(docs).filter(~F.col("kept")).select("doc_id", "keep_id", "text_sha256"), "copies")
     sha = F.sha2(normalized(F.col("text")).cast("binary"), 256)
-    gone = found.filter(~F.col("doc_id").eqNullSafe(F.col("keep_id")))
-    marked = docs.withColumn("__sha", sha)
-    left = marked.join(gone, (marked["__sha"] == gone["text_sha256"]) & marked["doc_id"].eqNullSafe(gone["doc_id"]), "left_anti")
-    again = found.filter(F.col("doc_id").eqNullSafe(F.col("keep_id"))).select("doc_id").distinct()
-    same = left["doc_id"].eqNullSafe(again["doc_id"])
-    repeats = left.join(again, same, "left_semi").dropDuplicates(["doc_id", "__sha"])
-    return left.join(again, same, "left_anti").unionByName(repeats).select(docs.columns)
+    own = F.col("doc_id").eqNullSafe(F.col("keep_id"))
+    left = without(docs.withColumn("text_sha256", sha), found.filter(~own), "doc_id", "text_sha256")
+    again = found.filter(own).select("doc_id", "text_sha256").distinct()
+    if again.isEmpty():
+        return left.select(docs.columns)
+    repeats = left.join(F.broadcast(again) if again.count() < 10_000 else again, ["doc_id", "text_sha256"], "left_semi").dropDuplicates(["doc_id", "text_sha256"])
+    return without(left, again, "doc_id", "text_sha256").unionByName(repeats).select(docs.columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents linked by 0.8 or more of their five-word shingles, the one
     with the least doc_id stays. Rows without an id stay."""
     gone = ngram_components(docs, k=5, percent=80).filter("component_id <> doc_id").select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    return without(docs, gone, "doc_id").select(docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -177,3 +177,15 @@ def maybe_in(hashes: DataFrame):
         return pd.Series(out)
 
     return test
+
+
+def without(rows: DataFrame, gone: DataFrame, *names: str) -> DataFrame:
+    """``rows`` whose ``names`` aren't among ``gone`` (the same columns; null
+    equals null). Only rows that the filter can't clear are shuffled."""
+    gone = materialize(gone.select(*names).distinct(), "gone")
+    maybe = maybe_in(gone.select(F.xxhash64(*names)))(F.xxhash64(*names))
+    again = gone.select(*(F.col(n).alias(f"__{i}") for i, n in enumerate(names)))
+    same = F.lit(True)
+    for i, n in enumerate(names):
+        same = same & F.col(n).eqNullSafe(F.col(f"__{i}"))
+    return rows.filter(~maybe).unionByName(rows.filter(maybe).join(again, same, "left_anti"))

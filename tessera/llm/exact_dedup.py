@@ -40,8 +40,9 @@ def stream_state(spark: SparkSession, path: str, schema, files_per_trigger: int
     if files_per_trigger:
         source = source.option("maxFilesPerTrigger", files_per_trigger)
     out, base = scratch(spark, "dedup-state"), "spark.sql.streaming.stateStore."
-    # many stores share an executor: bound the memory of all of them together
-    wanted = {base + "providerClass": ROCKSDB, base + "rocksdb.boundedMemoryUsage": "true", base + "rocksdb.maxMemoryUsageMB": "128"}
+    # many stores share an executor: bound the memory of all of them together,
+    # and let none of them reserve disk ahead
+    wanted = {base + "providerClass": ROCKSDB, base + "rocksdb.boundedMemoryUsage": "true", base + "rocksdb.maxMemoryUsageMB": "128", base + "rocksdb.allowFAllocate": "false"}
     before = {name: spark.conf.get(name, None) for name in wanted}
 
     def save(batch: DataFrame, number: int) -> None:
