@@ -9,6 +9,8 @@ All steps are DataFrame expressions.
 from __future__ import annotations
 
 import re
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -52,20 +54,21 @@ def template_bigrams(text: str) -> list[str]:
     return sorted({f"{a} {b}" for a, b in zip(words, words[1:])})
 
 
-def anchors(grams: list[str], low: float) -> set[str]:
-    """Words of which any match of a template has one: a match holds ``low`` of
-    the template's bigrams at least, and fewer than that are without these words.
-    Long words first; they are rare in other texts."""
-    left, out = list(grams), set()
-    while left and len(left) >= low * len(grams):
-        count: dict[str, int] = {}
-        for g in left:
-            for w in set(g.split()):
-                count[w] = count.get(w, 0) + 1
-        best = max(count, key=lambda w: (len(w) >= 6, count[w], len(w), w))
-        out.add(best)
-        left = [g for g in left if best not in g.split()]
-    return out
+def anchors(grams: dict[str, list[str]], low: float) -> list[str]:
+    """Words of which any match has one: a match holds ``low`` of its template's
+    bigrams at least, and fewer than that are without these words. Long words
+    are taken first, as they are rare in other texts, and again if they can be."""
+    out: set[str] = set()
+    for own in sorted(grams.values(), key=len):
+        left = [g for g in own if not out & set(g.split())]
+        while left and len(left) >= low * len(own):
+            count: dict[str, int] = {}
+            for g in left:
+                for w in set(g.split()):
+                    count[w] = count.get(w, 0) + 1
+            out.add(best := max(count, key=lambda w: (len(w) >= 6, count[w], len(w), w)))
+            left = [g for g in left if best not in g.split()]
+    return sorted(out)
 
 
 def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
@@ -85,14 +88,14 @@ def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, threshold: floa
     known = F.broadcast(spark.createDataFrame([(n, len(g), x) for n, g in grams.items() for x in g], "template string, size int, gram string"))
 
     rows = docs.select("doc_id", F.monotonically_increasing_id().alias("row"), F.translate(F.coalesce("text", F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz").alias("text"))
-    marks = F.lit("|".join(sorted({w for g in grams.values() for w in anchors(g, low)})))
-    marked = rows.filter(F.rlike("text", marks))
+    has_mark = lambda name: reduce(or_, (F.contains(F.col(name), F.lit(w)) for w in anchors(grams, low)))
+    marked = rows.filter(has_mark("text"))
     lines = F.split("text", "\n")
     units = marked.select("row", F.posexplode(F.when(F.size(lines) > 1, F.concat(lines, F.array("text"))).otherwise(lines)).alias("unit", "line"))
     # n words make n - 1 bigrams at most, and words of a unit that is long enough
     # take two bytes each: a first bound that needs no splitting
     least = min(b for b, _ in bounds)
-    units = units.filter((F.length("line") >= 2 * int(least) + 1) & F.rlike("line", marks))
+    units = units.filter((F.length("line") >= 2 * int(least) + 1) & has_mark("line"))
     words = F.filter(F.split("line", "[^a-z0-9]+"), lambda w: w != "")
     units = units.select("row", "unit", words.alias("w")).filter(F.size("w") - 1 >= least)
     most = F.greatest(F.size("w") - 1, F.lit(0))
