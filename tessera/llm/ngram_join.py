@@ -41,6 +41,7 @@ _A = np.uint64(0xBF58476D1CE4E5B9)
 #: they only order shingles, results are exact with any order.
 SKETCH_BITS = 27
 CHUNK = 1 << 16
+HOT_BLOCKS = 1000
 _SHIFT, _CLASS = np.uint64(64 - SKETCH_BITS), np.uint64(3)
 #: rank of shingles by level (once, 2 to 7, 8 to 63 documents, more); not counted
 RANKS, UNCOUNTED = np.array([0, 1, 2, 4], np.uint64), np.uint64(3)
@@ -351,8 +352,15 @@ def ngram_components(docs: DataFrame, k: int = 5, percent: int = 80, block_size:
     texts = need.join(few, ["id", "none"]).select("node", "digest", "text").sortWithinPartitions("node")
     sets = materialize(texts.mapInArrow(_sets(k), "node long, items array<long>"), "items")
 
-    sizes = pairs.groupBy("block").agg(F.count("*").alias("n")).select("block", F.ceil(F.col("n") / block_size).cast("int").alias("parts"))
-    dealt = materialize(pairs.join(sizes, "block").withColumn("part", F.expr("pmod(xxhash64(node), parts)").cast("int")), "dealt")
+    sizes = pairs.groupBy("block").agg(F.count("*").alias("n")).select("block", "n", F.ceil(F.col("n") / block_size).cast("int").alias("parts"))
+    # fewer than HOT_BLOCKS blocks hold more than 1 / HOT_BLOCKS of the rows each:
+    # their sizes are broadcast, so that no task gets all rows of such a block
+    hot = F.col("n") > max(block_size, pairs.count() // HOT_BLOCKS)
+    large = F.broadcast(sizes.filter(hot).select("block", F.col("parts").alias("many")))
+    small = sizes.filter(~hot).select(F.col("block").alias("own"), "parts")
+    dealt = pairs.join(large, "block", "left").join(small, F.when(F.col("many").isNull(), F.col("block")) == F.col("own"), "left")
+    dealt = dealt.select("block", "node", F.coalesce("many", "parts").alias("parts"))
+    dealt = materialize(dealt.withColumn("part", F.expr("pmod(xxhash64(node), parts)").cast("int")), "dealt")
     heads = sizes.select("block", F.explode(F.expr("sequence(0, parts - 1)")).alias("part"), F.col("block").alias("node"))
     members = dealt.select("block", "part", "node").union(heads.select("block", "part", "node")).distinct()
     links = materialize(_search(members.select("block", "part", F.lit(0).alias("piece"), "node", F.col("node").alias("comp"), F.lit(True).alias("asked")), sets, percent), "links")
@@ -360,16 +368,18 @@ def ngram_components(docs: DataFrame, k: int = 5, percent: int = 80, block_size:
 
     # blocks over several tasks: what is outside the largest component of its
     # block is asked about in every part, unless it is in that component
+    # (block, part) is the key of all joins here: a part has about block_size rows
+    slots = sizes.filter("parts > 1").select("block", F.explode(F.expr("sequence(0, parts - 1)")).alias("part"))
     wide = dealt.filter("parts > 1").join(roots.withColumnRenamed("root", "comp"), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     tally = wide.groupBy("block", "comp").agg(F.count("*").alias("n"))
     most = tally.groupBy("block").agg(F.max(F.struct("n", "comp")).alias("m"), F.count("*").alias("kinds")).filter("kinds > 1").select("block", F.col("m.comp").alias("main"))
-    wide = materialize(wide.join(most, "block"), "wide")
+    wide = materialize(wide.join(most.join(slots, "block"), ["block", "part"]), "wide")
     asked = wide.filter("comp <> main")
-    pieces = asked.groupBy("block").agg(F.ceil(F.count("*") / block_size).cast("int").alias("pieces"))
-    asked = asked.join(pieces, "block").withColumn("piece", F.expr("pmod(xxhash64(node, 7), pieces)").cast("int"))
+    pieces = asked.groupBy("block").agg(F.ceil(F.count("*") / block_size).cast("int").alias("pieces")).join(slots, "block")
+    asked = asked.join(pieces, ["block", "part"]).withColumn("piece", F.expr("pmod(xxhash64(node, 7), pieces)").cast("int"))
     every = F.explode(F.expr("sequence(0, parts - 1)"))
     q = asked.select("block", every.alias("part"), "piece", "node", "comp", F.lit(True).alias("asked"))
-    i = wide.join(pieces, "block").select("block", "part", F.explode(F.expr("sequence(0, pieces - 1)")).alias("piece"), "node", "comp", F.lit(False).alias("asked"))
+    i = wide.join(pieces, ["block", "part"]).select("block", "part", F.explode(F.expr("sequence(0, pieces - 1)")).alias("piece"), "node", "comp", F.lit(False).alias("asked"))
     more = materialize(_search(q.union(i), sets, percent), "more")
     if not more.isEmpty():
         roots = materialize(components(links.union(more)), "roots")
