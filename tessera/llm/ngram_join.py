@@ -84,14 +84,20 @@ def linked(overlap: int, n: int, m: int, percent: int) -> bool:
 
 
 class DivideSkip:
-    """Inverted lists over the sets of a block, and T-occurrence queries."""
+    """Inverted lists over the sets of a block, and T-occurrence queries. Shingles
+    in fewer than ``least`` sets get no list: with 2, results are exact for
+    queries that are indexed sets themselves, and most shingles take no memory."""
 
-    def __init__(self, sets: list[np.ndarray], percent: int):
+    def __init__(self, sets: list[np.ndarray], percent: int, least: int = 1):
         self.percent, self.sets = percent, sets
-        self.lists: dict[int, list[int]] = {}
-        for i, s in enumerate(sets):
-            for x in s.tolist():
-                self.lists.setdefault(x, []).append(i)
+        flat = np.concatenate([*sets, np.empty(0, np.uint64)])
+        holder = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+        order = np.argsort(flat, kind="stable")
+        flat, holder = flat[order], holder[order]
+        first = np.flatnonzero(np.concatenate([[True], flat[1:] != flat[:-1]])[: len(flat)])
+        size = np.diff(first, append=len(flat))
+        wanted = size >= least
+        self.lists: dict[int, list[int]] = {int(flat[i]): holder[i : i + n].tolist() for i, n in zip(first[wanted], size[wanted])}
 
     def search(self, query: np.ndarray, skip=lambda y: False) -> Iterator[int]:
         """Indexed sets linked with ``query``. ``skip(y)`` is asked before ``y``
@@ -156,7 +162,7 @@ def search_block(rows: list[tuple[int, int, bool, np.ndarray]], percent: int) ->
     forest = Forest([r[1] for r in rows])
     if len({forest.find(i) for i in range(len(rows))}) == 1:
         return []
-    index = DivideSkip([r[3] for r in rows], percent)
+    index = DivideSkip([r[3] for r in rows], percent, least=2)
     out = []
     for x, (node, _, asked, s) in enumerate(rows):
         if asked:
