@@ -70,3 +70,13 @@ def clip_segments(rows: DataFrame, left: int, top: int, right: int, bottom: int)
             yield out
 
     return rows.mapInPandas(run, rows.schema)
+
+
+def bands(rows: DataFrame, frame_height: int, band_height: int) -> DataFrame:
+    """A row of each shape (y0, y1 inclusive) for every horizontal band of the
+    frame that it touches, so bands can be drawn by different tasks. Shapes
+    outside the frame, or with null bounds, are in no band."""
+    seen = rows.filter((F.col("y1") >= 0) & (F.col("y0") < frame_height) & (F.col("y0") <= F.col("y1")))
+    first, last = F.greatest("y0", F.lit(0)), F.least("y1", F.lit(frame_height - 1))
+    size = F.lit(band_height)
+    return seen.withColumn("band", F.explode(F.sequence(F.floor(first / size), F.floor(last / size))))

@@ -179,6 +179,8 @@ ORACLE = {
     "ring_area": f"SELECT * FROM {AREA}",
     "ring_parts": f"""WITH a AS (SELECT *, sign(area2) AS sg FROM {AREA} WHERE n_points >= 3), o AS (SELECT feature_id, arg_min(sg, ring) AS outer_sign FROM a WHERE sg <> 0 GROUP BY feature_id)
  SELECT feature_id, ring, CAST(sum(CASE WHEN r = 1 OR sg = outer_sign THEN 1 ELSE 0 END) OVER (PARTITION BY feature_id ORDER BY ring) AS BIGINT) AS part FROM (SELECT a.*, outer_sign, row_number() OVER (PARTITION BY feature_id ORDER BY ring) AS r FROM a LEFT JOIN o USING (feature_id))""",
+    "band_shapes": f"SELECT ring, CAST(unnest(range(greatest(y0, 0) // 256, least(y1, 4095) // 256 + 1)) AS BIGINT) AS band FROM (SELECT ring, min(y) AS y0, max(y) AS y1 FROM {POINTS} WHERE ring IN (SELECT o_orderkey FROM orders) GROUP BY ring) WHERE y1 >= 0 AND y0 < 4096",
+    "band_load": f"SELECT band, count(*) AS shapes FROM (SELECT ring, CAST(unnest(range(greatest(y0, 0) // 256, least(y1, 4095) // 256 + 1)) AS BIGINT) AS band FROM (SELECT ring, min(y) AS y0, max(y) AS y1 FROM {POINTS} WHERE ring IN (SELECT o_orderkey FROM orders) GROUP BY ring) WHERE y1 >= 0 AND y0 < 4096) GROUP BY band",
     "painted_bounds": f"SELECT ring, min(x) AS x0, min(y) AS y0, max(x) AS x1, max(y) AS y1 FROM {POINTS} WHERE ring IN (SELECT o_orderkey FROM orders) GROUP BY ring",
     "line_segments": f"SELECT * FROM {SEGMENTS} WHERE x1 IS NOT NULL",
     "project_q16": "SELECT p_partkey, CAST(floor((ox + x * sc) / 65536.0::DOUBLE) AS INTEGER) AS px FROM (SELECT p_partkey, CAST((p_partkey * 37) % 5000 - 400 AS BIGINT) AS x, CAST(floor(256 / 4096.0::DOUBLE * 65536 + 0.5) AS BIGINT) AS sc, CAST(floor(round(0.5::DOUBLE * CASE (p_partkey % 25) % 3 WHEN 0 THEN 1280 WHEN 1 THEN 320 ELSE 480 END - (p_partkey % 25) * 300.25::DOUBLE, 6) * 65536 + 0.5) AS BIGINT) AS ox FROM part)",

@@ -217,6 +217,15 @@ def painted_bounds(spark, d):
     return s.rings(spark, d).select("ring", F.array_min(x).alias("x0"), F.array_min(y).alias("y0"), F.array_max(x).alias("x1"), F.array_max(y).alias("y1"))
 
 
+def band_shapes(spark, d):
+    return geometry.bands(painted_bounds(spark, d), 4096, 256).select("ring", F.col("band").cast("long").alias("band"))
+
+
+def band_load(spark, d):
+    """Shapes that each band has to draw."""
+    return band_shapes(spark, d).groupBy("band").agg(F.count("*").alias("shapes"))
+
+
 def line_segments(spark, d):
     return s.rings(spark, d).select("ring", F.posexplode(geometry.segments(c("points"))).alias("i", "s")).select("ring", "i", "s.x0", "s.y0", "s.x1", "s.y1")
 
