@@ -1,18 +1,20 @@
 """Licence scan: Dice coefficient over word bigrams against licence templates.
 
-Texts and each of their lines are normalised to lower-case words and compared
-with templates that their size allows: with a coefficient of ``t`` or more, the
-smaller of two bigram sets has at least t / (2 - t) times the larger one's size.
-All steps are DataFrame expressions.
+Texts, each of their lines and runs of consecutive words anywhere in them are
+normalised to lower-case words and compared with templates that their size
+allows: with a coefficient of ``t`` or more, the smaller of two bigram sets has
+at least t / (2 - t) times the larger one's size. All steps are DataFrame
+expressions.
 """
 
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from functools import reduce
 from operator import or_
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Notices and headers of public licences, by SPDX id.
@@ -48,9 +50,13 @@ TEMPLATES = {
 THRESHOLD = 0.8
 
 
+def template_words(text: str) -> list[str]:
+    return re.sub("[^a-z0-9]+", " ", text.lower()).split()
+
+
 def template_bigrams(text: str) -> list[str]:
     """Distinct word bigrams of a template, normalised as texts are."""
-    words = re.sub("[^a-z0-9]+", " ", text.lower()).split()
+    words = template_words(text)
     return sorted({f"{a} {b}" for a, b in zip(words, words[1:])})
 
 
@@ -71,12 +77,47 @@ def anchors(grams: dict[str, list[str]], low: float) -> list[str]:
     return sorted(out)
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once."""
+    return F.transform(F.array(value), body)[0]
+
+
+def bigrams(words: str) -> Column:
+    """Word bigrams of an array of words, in order, with repeats."""
+    most = F.greatest(F.size(words) - 1, F.lit(0))
+    return F.zip_with(F.slice(words, F.lit(1), most), F.slice(words, F.lit(2), most), lambda a, b: F.concat(a, F.lit(" "), b))
+
+
+def best_run(low: float) -> Column:
+    """Best coefficient of a run of words with a template; ``all`` has the text's
+    bigrams, ``own`` the ``size`` bigrams of the template.
+
+    A bigram of the template beside a run never lowers its coefficient and any
+    other at its end never raises it, so the best run starts where a stretch of
+    the template's bigrams starts and ends where one ends. All such pairs are
+    scored, up to ``most`` bigrams apart or within one stretch."""
+
+    def dice(a: Column, b: Column, shared: Column) -> Column:
+        return let(F.slice("all", a + 1, b - a + 1), lambda x: 2.0 * F.size(F.array_intersect(x, shared)) / (F.size(F.array_distinct(x)) + F.col("size")))
+
+    def pairs(starts: Column, ends: Column, shared: Column) -> Column:
+        near = lambda a, i: F.filter(F.slice(ends, i + 1, F.size(ends)), lambda b, k: (b - a + 1 >= low * F.col("size")) & ((k == 0) | (b - a < F.col("most"))))
+        return F.array_max(F.flatten(F.transform(starts, lambda a, i: F.transform(near(a, i), lambda b: dice(a, b, shared)))))
+
+    def stretches(at: Column, shared: Column) -> Column:
+        starts = F.filter(at, lambda p, k: (k == 0) | (F.get(at, k - 1) != p - 1))
+        ends = F.filter(at, lambda p, k: (k == F.size(at) - 1) | (F.get(at, k + 1) != p + 1))
+        return let(starts, lambda s: let(ends, lambda e: pairs(s, e, shared)))
+
+    places = lambda shared: F.filter(F.transform("all", lambda g, i: F.when(F.array_contains(shared, g), i)), lambda i: i.isNotNull())
+    return let(F.array_intersect("all", "own"), lambda shared: F.when(F.size(shared) >= low * F.col("size"), let(places(shared), lambda at: stretches(at, shared))))
+
+
 def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, template, dice, n_found for each row of ``docs``.
 
-    ``template`` is the best match of the whole text or one of its lines with a
-    coefficient of at least ``threshold`` (ties: the first by name), null without
-    one; ``n_found`` is the number of templates matched. Normalisation: ASCII
+    ``template`` is the best match of the whole text, one of its lines or a run of
+    its words, which may cross lines, with a coefficient of at least ``threshold`` (ties: the first by name), null without one; ``n_found`` is the number of templates matched. Normalisation: ASCII
     letters lowered, everything but letters and digits of ASCII as one space.
     Null, empty and one-word texts match nothing. Repeated rows stay; other
     columns are ignored. Templates are a parameter; they are sent to all tasks.
@@ -90,24 +131,29 @@ def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, threshold: floa
     rows = docs.select("doc_id", F.monotonically_increasing_id().alias("row"), F.translate(F.coalesce("text", F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz").alias("text"))
     has_mark = lambda name: reduce(or_, (F.contains(F.col(name), F.lit(w)) for w in anchors(grams, low)))
     marked = rows.filter(has_mark("text"))
+    split = lambda name: F.filter(F.split(name, "[^a-z0-9]+"), lambda w: w != "")
+    forms = [(n, len(g), len(template_words(templates[n])) / low, g, anchors({n: g}, low)) for n, g in grams.items() if g]
+    forms = F.broadcast(spark.createDataFrame(forms, "template string, size int, most double, own array<string>, marks array<string>"))
+    texts = marked.select("row", "text", split("text").alias("w")).select("row", "text", bigrams("w").alias("all"))
+    fits = (F.size("all") >= low * F.col("size")) & F.exists("marks", lambda m: F.contains(F.col("text"), m))
+    runs = texts.join(forms, fits & (F.size(F.array_intersect("all", "own")) >= low * F.col("size"))).select("row", "template", best_run(low).alias("dice"))
+
     lines = F.split("text", "\n")
     units = marked.select("row", F.posexplode(F.when(F.size(lines) > 1, F.concat(lines, F.array("text"))).otherwise(lines)).alias("unit", "line"))
     # n words make n - 1 bigrams at most, and words of a unit that is long enough
     # take two bytes each: a first bound that needs no splitting
     least = min(b for b, _ in bounds)
     units = units.filter((F.length("line") >= 2 * int(least) + 1) & has_mark("line"))
-    words = F.filter(F.split("line", "[^a-z0-9]+"), lambda w: w != "")
-    units = units.select("row", "unit", words.alias("w")).filter(F.size("w") - 1 >= least)
-    most = F.greatest(F.size("w") - 1, F.lit(0))
-    pairs = F.array_distinct(F.zip_with(F.slice("w", F.lit(1), most), F.slice("w", F.lit(2), most), lambda a, b: F.concat(a, F.lit(" "), b)))
-    units = units.select("row", "unit", pairs.alias("grams")).withColumn("n", F.size("grams"))
+    units = units.select("row", "unit", split("line").alias("w")).filter(F.size("w") - 1 >= least)
+    units = units.select("row", "unit", F.array_distinct(bigrams("w")).alias("grams")).withColumn("n", F.size("grams"))
     fits = F.lit(False)
     for a, b in bounds:
         fits = fits | F.col("n").between(a, b)
     units = units.filter(fits)
     hits = units.select("row", "unit", "n", F.explode("grams").alias("gram")).join(known, "gram")
     hits = hits.filter((F.least("n", "size") >= low * F.greatest("n", "size")))
-    dice = hits.groupBy("row", "unit", "n", "template", "size").agg(F.count("*").alias("both")).withColumn("dice", 2.0 * F.col("both") / (F.col("n") + F.col("size"))).filter(F.col("dice") >= threshold)
+    dice = hits.groupBy("row", "unit", "n", "template", "size").agg(F.count("*").alias("both")).withColumn("dice", 2.0 * F.col("both") / (F.col("n") + F.col("size")))
+    dice = dice.select("row", "template", "dice").unionByName(runs).filter(F.col("dice") >= threshold)
     best = dice.groupBy("row").agg(F.min(F.struct((-F.col("dice")).alias("d"), "template")).alias("b"), F.count_distinct("template").alias("n_found"))
     return rows.select("doc_id", "row").join(best, "row", "left").select("doc_id", "b.template", F.round(-F.col("b.d"), 9).alias("dice"), F.coalesce("n_found", F.lit(0)).cast("long").alias("n_found"))
 

@@ -171,6 +171,47 @@ def test_licences(make):
     assert got == {0: ("MIT/notice", 1.0), 1: ("Apache-2.0", 1.0), 2: (None, None), 3: (None, None), 4: (None, None), 5: ("MIT/notice", 1.0), 6: (None, None)}
 
 
+def wrapped(text, mark, width=9):
+    w = text.split()
+    return "\n".join(mark + " ".join(w[i : i + width]) for i in range(0, len(w), width))
+
+
+def brute_dice(text, template):
+    """Best coefficient over all runs of words."""
+    w, g = licenses.template_words(text), set(licenses.template_bigrams(template))
+    b = [" ".join(x) for x in zip(w, w[1:])]
+    runs = [set(b[i:j]) for i in range(len(b)) for j in range(i + 1, len(b) + 1)]
+    return max((2.0 * len(r & g) / (len(r) + len(g)) for r in runs), default=0.0)
+
+
+def test_licence_inside_longer_text(make):
+    code = "\n".join(f"int f{i}(int a) {{ return a + {i}; }}" for i in range(400))
+    names = ["MIT", "Apache-2.0", "GPL-3.0", "ISC"]
+    rows = [(i, wrapped(licenses.TEMPLATES[n], " * ") + "\n" + code) for i, n in enumerate(names)]
+    rows += [(10 + i, code + "\n" + wrapped(licenses.TEMPLATES[n], "# ", 31) + "\n" + code) for i, n in enumerate(names)]
+    got = {r.doc_id: (r.template, r.dice) for r in licenses.scan(make(rows)).collect()}
+    assert got == {k + i: (n, 1.0) for k in (0, 10) for i, n in enumerate(names)}
+
+
+def test_licence_runs_are_the_best_of_all(make):
+    rng = random.Random(7)
+    forms = {"a": "one two three four five six seven eight nine ten", "b": "red two three blue four five six green"}
+    rows = []
+    for i in range(60):
+        w = [rng.choice("x y z one two".split()) for _ in range(rng.randrange(12))]
+        for _ in range(rng.randrange(1, 3)):
+            t = forms[rng.choice("ab")].split()
+            for _ in range(rng.randrange(4)):
+                t.pop(rng.randrange(len(t))) if rng.random() < 0.4 else None
+                t.insert(rng.randrange(len(t)), rng.choice(["q", "r", "two"]))
+            w += t + [rng.choice("x y z".split()) for _ in range(rng.randrange(8))]
+        rows.append((i, " ".join(w)))
+    got = {r.doc_id: (r.template, r.dice, r.n_found) for r in licenses.scan(make(rows), forms, 0.7).collect()}
+    for i, text in rows:
+        found = sorted((-d, n) for n, t in forms.items() if (d := brute_dice(text, t)) >= 0.7)
+        assert got[i] == ((found[0][1], round(-found[0][0], 9), len(found)) if found else (None, None, 0))
+
+
 def test_chat(spark):
     def conv(c, *turns):
         return [(c, i, "user" if i % 2 == 0 else "assistant", t) for i, t in enumerate(turns)]
