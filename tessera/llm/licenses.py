@@ -9,15 +9,50 @@ expressions.
 
 from __future__ import annotations
 
+import math
 import re
+import zlib
 from collections.abc import Callable
 from functools import reduce
 from operator import or_
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Notices and headers of public licences, by SPDX id.
+#: Full texts of licences, a file for each SPDX id.
+TEXTS = Path(__file__).with_name("license_texts")
+#: Identifiers of the `SPDX-License-Identifier:` line.
+SPDX_IDS = "MIT ISC Zlib Unlicense BSL-1.0 Apache-2.0 BSD-2-Clause BSD-3-Clause MPL-2.0 EPL-2.0 CC0-1.0 GPL-2.0-only GPL-2.0-or-later GPL-3.0-only GPL-3.0-or-later LGPL-2.1-only LGPL-2.1-or-later LGPL-3.0-only LGPL-3.0-or-later AGPL-3.0-only AGPL-3.0-or-later".split()
+CC_PARTS = {"BY": "Attribution", "BY-SA": "Attribution-ShareAlike", "BY-NC": "Attribution-NonCommercial", "BY-ND": "Attribution-NoDerivatives", "BY-NC-SA": "Attribution-NonCommercial-ShareAlike", "BY-NC-ND": "Attribution-NonCommercial-NoDerivatives"}
+CC_VERSIONS = {"2.0": "Generic", "2.5": "Generic", "3.0": "Unported", "4.0": "International"}
+
+
+def creative_commons() -> dict[str, str]:
+    """Notices of the CC licences: the short and the long name and the SPDX line."""
+    out = {}
+    for part, name in CC_PARTS.items():
+        for version, port in CC_VERSIONS.items():
+            key = f"CC-{part}-{version}"
+            out[f"{key}/short"] = f"Licensed under CC {part} {version}."
+            out[f"{key}/notice"] = f"This work is licensed under a Creative Commons {name} {version} {port} License."
+            out[f"{key}/spdx"] = f"SPDX-License-Identifier: {key}"
+    return out
+
+
+def gnu(name: str, key: str, version: str) -> dict[str, str]:
+    """Header and short notice of a GNU licence."""
+    return {
+        f"{key}/notice": f"This program is licensed under the GNU {name} version {version}.",
+        f"{key}/header": (
+            f"This program is free software: you can redistribute it and/or modify it under the terms of the GNU {name} as published by the Free Software Foundation, either version {version} of the License, or (at your option) any later version. "
+            f"This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU {name} for more details. "
+            f"You should have received a copy of the GNU {name} along with this program. If not, see <https://www.gnu.org/licenses/>."
+        ),
+    }
+
+
+#: Notices, headers and full texts of public licences, by SPDX id.
 TEMPLATES = {
     "MIT/notice": "Released under the MIT License.",
     "MIT/licensed": "This project is licensed under the terms of the MIT license.",
@@ -46,7 +81,19 @@ TEMPLATES = {
     "CC-BY-4.0/notice": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
     "CC0-1.0/notice": "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work.",
     "reserved": "All rights reserved.",
+    "BSD-2-Clause/notice": "Licensed under the BSD 2-Clause License.",
+    "BSD-3-Clause/licensed": "Licensed under the BSD 3-Clause License.",
+    "ISC/notice": "Released under the ISC License.",
+    "Zlib/notice": "Released under the zlib License.",
+    "Unlicense/notice": "Released under the Unlicense into the public domain.",
+    "BSL-1.0/notice": "Distributed under the Boost Software License, Version 1.0. (See accompanying file LICENSE_1_0.txt or copy at http://www.boost.org/LICENSE_1_0.txt)",
+    "EPL-2.0/notice": "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/",
 }
+TEMPLATES |= {k: v for k, v in creative_commons().items() if k not in TEMPLATES}
+for _name, _key, _version in (("General Public License", "GPL-2.0", "2"), ("Lesser General Public License", "LGPL-2.1", "2.1"), ("Lesser General Public License", "LGPL-3.0", "3"), ("Affero General Public License", "AGPL-3.0", "3")):
+    TEMPLATES |= gnu(_name, _key, _version)
+TEMPLATES |= {f"{k}/spdx": f"SPDX-License-Identifier: {k}" for k in SPDX_IDS}
+TEMPLATES |= {f"{f.stem}/text": f.read_text(encoding="utf-8") for f in sorted(TEXTS.glob("*.txt"))}
 THRESHOLD = 0.8
 
 
@@ -60,21 +107,32 @@ def template_bigrams(text: str) -> list[str]:
     return sorted({f"{a} {b}" for a, b in zip(words, words[1:])})
 
 
-def anchors(grams: dict[str, list[str]], low: float) -> list[str]:
-    """Words of which any match has one: a match holds ``low`` of its template's
-    bigrams at least, and fewer than that are without these words. Long words
-    are taken first, as they are rare in other texts, and again if they can be."""
-    out: set[str] = set()
+def anchors(grams: dict[str, list[str]], low: float) -> dict[str, int]:
+    """Words of which any match has one, with the bigrams of the smallest template
+    that needs them: a match holds ``low`` of its template's bigrams at least, and
+    fewer than that are without these words. Long words are taken first, as they
+    are rare in other texts, and again if they can be; for templates that only
+    long texts can match, the most frequent, as these are few."""
+    out: dict[str, int] = {}
     for own in sorted(grams.values(), key=len):
-        left = [g for g in own if not out & set(g.split())]
+        left = [g for g in own if not out.keys() & set(g.split())]
         while left and len(left) >= low * len(own):
             count: dict[str, int] = {}
             for g in left:
                 for w in set(g.split()):
                     count[w] = count.get(w, 0) + 1
-            out.add(best := max(count, key=lambda w: (len(w) >= 6, count[w], len(w), w)))
+            best = max(count, key=lambda w: (len(w) >= 6 or len(own) >= 500, count[w], len(w), w))
+            out[best] = len(own)
             left = [g for g in left if best not in g.split()]
-    return sorted(out)
+    return out
+
+
+def dealt(own: list[str]) -> list[list[str]]:
+    """Bigrams by CRC-32, to look one up without a search."""
+    out: list[list[str]] = [[] for _ in own]
+    for g in own:
+        out[zlib.crc32(g.encode()) % len(own)].append(g)
+    return out
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -90,27 +148,26 @@ def bigrams(words: str) -> Column:
 
 def best_run(low: float) -> Column:
     """Best coefficient of a run of words with a template; ``all`` has the text's
-    bigrams, ``own`` the ``size`` bigrams of the template.
-
-    A bigram of the template beside a run never lowers its coefficient and any
-    other at its end never raises it, so the best run starts where a stretch of
-    the template's bigrams starts and ends where one ends. All such pairs are
-    scored, up to ``most`` bigrams apart or within one stretch."""
+    bigrams, ``own`` the ``size`` bigrams of the template, ``dealt`` too, by hash.
 
-    def dice(a: Column, b: Column, shared: Column) -> Column:
-        return let(F.slice("all", a + 1, b - a + 1), lambda x: 2.0 * F.size(F.array_intersect(x, shared)) / (F.size(F.array_distinct(x)) + F.col("size")))
+    A bigram of the template before a run never lowers its coefficient and any
+    other at its start never raises it, so the best run starts where a stretch of
+    the template's bigrams does. From all these starts, all runs of up to ``most``
+    bigrams are scored: more are too many for a match unless they repeat. A bigram
+    counts in a run if its last place before (``prev``) is not in the run."""
+    hit = lambda g: F.array_contains(F.get("dealt", F.pmod(F.crc32(g.cast("binary")), F.size("dealt")).cast("int")), g)
+    ordered = F.sort_array(F.transform("all", lambda g, i: F.struct(g.alias("g"), i.alias("at"))))
+    prev = lambda rows, x, k: F.when((k > 0) & (F.get(rows, k - 1)["g"] == x["g"]), F.get(rows, k - 1)["at"]).otherwise(-1)
+    placed = let(ordered, lambda rows: F.sort_array(F.transform(rows, lambda x, k: F.struct(x["at"].alias("at"), prev(rows, x, k).alias("prev"), hit(x["g"]).cast("int").alias("hit")))))
 
-    def pairs(starts: Column, ends: Column, shared: Column) -> Column:
-        near = lambda a, i: F.filter(F.slice(ends, i + 1, F.size(ends)), lambda b, k: (b - a + 1 >= low * F.col("size")) & ((k == 0) | (b - a < F.col("most"))))
-        return F.array_max(F.flatten(F.transform(starts, lambda a, i: F.transform(near(a, i), lambda b: dice(a, b, shared)))))
+    def step(acc: Column, x: Column, start: Column) -> Column:
+        new = F.when(x["prev"] < start, 1).otherwise(0)
+        return let(F.struct((acc["n"] + new).alias("n"), (acc["both"] + new * x["hit"]).alias("both")), lambda y: F.struct(y["n"].alias("n"), y["both"].alias("both"), F.greatest(acc["best"], 2.0 * y["both"] / (y["n"] + F.col("size"))).alias("best")))
 
-    def stretches(at: Column, shared: Column) -> Column:
-        starts = F.filter(at, lambda p, k: (k == 0) | (F.get(at, k - 1) != p - 1))
-        ends = F.filter(at, lambda p, k: (k == F.size(at) - 1) | (F.get(at, k + 1) != p + 1))
-        return let(starts, lambda s: let(ends, lambda e: pairs(s, e, shared)))
-
-    places = lambda shared: F.filter(F.transform("all", lambda g, i: F.when(F.array_contains(shared, g), i)), lambda i: i.isNotNull())
-    return let(F.array_intersect("all", "own"), lambda shared: F.when(F.size(shared) >= low * F.col("size"), let(places(shared), lambda at: stretches(at, shared))))
+    zero = F.struct(F.lit(0).alias("n"), F.lit(0).alias("both"), F.lit(0.0).alias("best"))
+    best = lambda rows, start: F.aggregate(F.slice(rows, start + 1, F.col("most")), zero, lambda acc, x: step(acc, x, start), lambda acc: acc["best"])
+    starts = lambda rows: F.filter(rows, lambda x, k: (x["hit"] == 1) & ((k == 0) | (F.get(rows, k - 1)["hit"] == 0)) & (F.size(rows) - k >= low * F.col("size")))
+    return let(placed, lambda rows: F.array_max(F.transform(starts(rows), lambda x: best(rows, x["at"]))))
 
 
 def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
@@ -129,25 +186,27 @@ def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, threshold: floa
     known = F.broadcast(spark.createDataFrame([(n, len(g), x) for n, g in grams.items() for x in g], "template string, size int, gram string"))
 
     rows = docs.select("doc_id", F.monotonically_increasing_id().alias("row"), F.translate(F.coalesce("text", F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz").alias("text"))
-    has_mark = lambda name: reduce(or_, (F.contains(F.col(name), F.lit(w)) for w in anchors(grams, low)))
+    # n words make n - 1 bigrams at most, and words of a unit that is long enough
+    # take two bytes each: a bound that needs no splitting
+    marks = anchors(grams, low)
+    long_enough = lambda name, size: F.length(name) >= 2 * int(low * size) + 1
+    has_mark = lambda name: reduce(or_, (long_enough(name, n) & reduce(or_, (F.contains(F.col(name), F.lit(w)) for w in marks if marks[w] == n)) for n in sorted(set(marks.values()))))
     marked = rows.filter(has_mark("text"))
     split = lambda name: F.filter(F.split(name, "[^a-z0-9]+"), lambda w: w != "")
-    forms = [(n, len(g), len(template_words(templates[n])) / low, g, anchors({n: g}, low)) for n, g in grams.items() if g]
-    forms = F.broadcast(spark.createDataFrame(forms, "template string, size int, most double, own array<string>, marks array<string>"))
+    forms = [(n, len(g), math.ceil(len(template_words(templates[n])) / low), g, dealt(g), list(anchors({n: g}, low))) for n, g in grams.items() if g]
+    forms = F.broadcast(spark.createDataFrame(forms, "template string, size int, most int, own array<string>, dealt array<array<string>>, marks array<string>"))
     texts = marked.select("row", "text", split("text").alias("w")).select("row", "text", bigrams("w").alias("all"))
     fits = (F.size("all") >= low * F.col("size")) & F.exists("marks", lambda m: F.contains(F.col("text"), m))
     runs = texts.join(forms, fits & (F.size(F.array_intersect("all", "own")) >= low * F.col("size"))).select("row", "template", best_run(low).alias("dice"))
 
     lines = F.split("text", "\n")
     units = marked.select("row", F.posexplode(F.when(F.size(lines) > 1, F.concat(lines, F.array("text"))).otherwise(lines)).alias("unit", "line"))
-    # n words make n - 1 bigrams at most, and words of a unit that is long enough
-    # take two bytes each: a first bound that needs no splitting
     least = min(b for b, _ in bounds)
-    units = units.filter((F.length("line") >= 2 * int(least) + 1) & has_mark("line"))
+    units = units.filter(has_mark("line"))
     units = units.select("row", "unit", split("line").alias("w")).filter(F.size("w") - 1 >= least)
     units = units.select("row", "unit", F.array_distinct(bigrams("w")).alias("grams")).withColumn("n", F.size("grams"))
     fits = F.lit(False)
-    for a, b in bounds:
+    for a, b in sorted(set(bounds)):
         fits = fits | F.col("n").between(a, b)
     units = units.filter(fits)
     hits = units.select("row", "unit", "n", F.explode("grams").alias("gram")).join(known, "gram")

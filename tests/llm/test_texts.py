@@ -193,6 +193,18 @@ def test_licence_inside_longer_text(make):
     assert got == {k + i: (n, 1.0) for k in (0, 10) for i, n in enumerate(names)}
 
 
+def test_licence_templates_cover_common_licences(make):
+    want = {"Licensed under CC BY-NC 4.0.": "CC-BY-NC-4.0/short", "SPDX-License-Identifier: AGPL-3.0-only": "AGPL-3.0-only/spdx"}
+    want["This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 3.0 Unported License."] = "CC-BY-NC-SA-3.0/notice"
+    for key in ("BSD-2-Clause", "BSD-3-Clause", "Apache-2.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "AGPL-3.0", "MPL-2.0"):
+        want[f"Copyright 2020 somebody\n\n{(licenses.TEXTS / f'{key}.txt').read_text()}\nmore words after it"] = f"{key}/text"
+    got = {r.doc_id: (r.template, r.dice) for r in licenses.scan(make(list(enumerate(want)))).collect()}
+    # an equal header inside a full text comes first by name
+    same = {"Apache-2.0/text": "Apache-2.0", "GPL-3.0/text": "GPL-3.0", "AGPL-3.0/text": "AGPL-3.0/header"}
+    for i, name in enumerate(want.values()):
+        assert got[i][1] == 1.0 and got[i][0] in (name, same.get(name))
+
+
 def test_licence_runs_are_the_best_of_all(make):
     rng = random.Random(7)
     forms = {"a": "one two three four five six seven eight nine ten", "b": "red two three blue four five six green"}
