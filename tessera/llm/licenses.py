@@ -140,12 +140,23 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
-def bigrams(words: str) -> Column:
+def words(text: Column) -> Column:
+    return F.filter(F.split(text, "[^a-z0-9]+"), lambda w: w != "")
+
+
+def bigrams(words: Column) -> Column:
     """Word bigrams of an array of words, in order, with repeats."""
     most = F.greatest(F.size(words) - 1, F.lit(0))
     return F.zip_with(F.slice(words, F.lit(1), most), F.slice(words, F.lit(2), most), lambda a, b: F.concat(a, F.lit(" "), b))
 
 
+def best_unit() -> Column:
+    """Best coefficient of the whole text or one of its lines."""
+    dice = lambda x: let(F.array_distinct(x), lambda d: 2.0 * F.size(F.array_intersect(d, "own")) / (F.size(d) + F.col("size")))
+    lines = F.transform(F.split("text", "\n"), lambda line: let(words(line), lambda w: dice(bigrams(w))))
+    return F.greatest(dice(F.col("all")), F.array_max(lines))
+
+
 def best_run(low: float) -> Column:
     """Best coefficient of a run of words with a template; ``all`` has the text's
     bigrams, ``own`` the ``size`` bigrams of the template, ``dealt`` too, by hash.
@@ -181,10 +192,7 @@ def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, threshold: floa
     """
     spark = docs.sparkSession
     grams = {n: template_bigrams(t) for n, t in templates.items()}
-    low = threshold / (2 - threshold)
-    bounds = [(len(g) * low, len(g) / low) for g in grams.values()]
-    known = F.broadcast(spark.createDataFrame([(n, len(g), x) for n, g in grams.items() for x in g], "template string, size int, gram string"))
-
+    low = threshold / (2 - threshold) * (1 - 1e-9)  # the coefficient decides ties
     rows = docs.select("doc_id", F.monotonically_increasing_id().alias("row"), F.translate(F.coalesce("text", F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz").alias("text"))
     # n words make n - 1 bigrams at most, and words of a unit that is long enough
     # take two bytes each: a bound that needs no splitting
@@ -192,27 +200,16 @@ def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, threshold: floa
     long_enough = lambda name, size: F.length(name) >= 2 * int(low * size) + 1
     has_mark = lambda name: reduce(or_, (long_enough(name, n) & reduce(or_, (F.contains(F.col(name), F.lit(w)) for w in marks if marks[w] == n)) for n in sorted(set(marks.values()))))
     marked = rows.filter(has_mark("text"))
-    split = lambda name: F.filter(F.split(name, "[^a-z0-9]+"), lambda w: w != "")
-    forms = [(n, len(g), math.ceil(len(template_words(templates[n])) / low), g, dealt(g), list(anchors({n: g}, low))) for n, g in grams.items() if g]
-    forms = F.broadcast(spark.createDataFrame(forms, "template string, size int, most int, own array<string>, dealt array<array<string>>, marks array<string>"))
-    texts = marked.select("row", "text", split("text").alias("w")).select("row", "text", bigrams("w").alias("all"))
-    fits = (F.size("all") >= low * F.col("size")) & F.exists("marks", lambda m: F.contains(F.col("text"), m))
-    runs = texts.join(forms, fits & (F.size(F.array_intersect("all", "own")) >= low * F.col("size"))).select("row", "template", best_run(low).alias("dice"))
-
-    lines = F.split("text", "\n")
-    units = marked.select("row", F.posexplode(F.when(F.size(lines) > 1, F.concat(lines, F.array("text"))).otherwise(lines)).alias("unit", "line"))
-    least = min(b for b, _ in bounds)
-    units = units.filter(has_mark("line"))
-    units = units.select("row", "unit", split("line").alias("w")).filter(F.size("w") - 1 >= least)
-    units = units.select("row", "unit", F.array_distinct(bigrams("w")).alias("grams")).withColumn("n", F.size("grams"))
-    fits = F.lit(False)
-    for a, b in sorted(set(bounds)):
-        fits = fits | F.col("n").between(a, b)
-    units = units.filter(fits)
-    hits = units.select("row", "unit", "n", F.explode("grams").alias("gram")).join(known, "gram")
-    hits = hits.filter((F.least("n", "size") >= low * F.greatest("n", "size")))
-    dice = hits.groupBy("row", "unit", "n", "template", "size").agg(F.count("*").alias("both")).withColumn("dice", 2.0 * F.col("both") / (F.col("n") + F.col("size")))
-    dice = dice.select("row", "template", "dice").unionByName(runs).filter(F.col("dice") >= threshold)
+    forms = [(n, len(g), math.ceil(len(template_words(templates[n])) / low), g, dealt(g)) for n, g in grams.items() if g]
+    forms = F.broadcast(spark.createDataFrame(forms, "template string, size int, most int, own array<string>, dealt array<array<string>>"))
+    # a match shares ``low`` of its template's bigrams, so few texts and templates
+    # meet; the set of all templates' bigrams comes first, as it is looked up at once
+    every = ", ".join(f"'{g}'" for g in sorted(set().union(*grams.values())))
+    texts = marked.select("row", "text", words(F.col("text")).alias("w")).select("row", "text", bigrams(F.col("w")).alias("all"))
+    texts = texts.select("*", F.expr(f"array_distinct(filter(`all`, g -> g in ({every})))").alias("hits"))
+    meet = (F.size("hits") >= low * F.col("size")) & (F.size(F.array_intersect("hits", "own")) >= low * F.col("size"))
+    pairs = texts.join(forms, meet)
+    dice = pairs.select("row", "template", F.greatest(best_unit(), best_run(low)).alias("dice")).filter(F.col("dice") >= threshold)
     best = dice.groupBy("row").agg(F.min(F.struct((-F.col("dice")).alias("d"), "template")).alias("b"), F.count_distinct("template").alias("n_found"))
     return rows.select("doc_id", "row").join(best, "row", "left").select("doc_id", "b.template", F.round(-F.col("b.d"), 9).alias("dice"), F.coalesce("n_found", F.lit(0)).cast("long").alias("n_found"))
 

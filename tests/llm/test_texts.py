@@ -224,6 +224,13 @@ def test_licence_runs_are_the_best_of_all(make):
         assert got[i] == ((found[0][1], round(-found[0][0], 9), len(found)) if found else (None, None, 0))
 
 
+def test_licence_sizes_at_a_tie(make):
+    words = [f"w{i}" for i in range(76)]
+    forms = {"15": " ".join(words[:16]), "75": " ".join(words).replace("w", "v")}
+    rows = [(0, " ".join(words[:11])), (1, " ".join(words[:51]).replace("w", "v"))]
+    assert {r.doc_id: (r.template, r.dice) for r in licenses.scan(make(rows), forms).collect()} == {0: ("15", 0.8), 1: ("75", 0.8)}
+
+
 def test_chat(spark):
     def conv(c, *turns):
         return [(c, i, "user" if i % 2 == 0 else "assistant", t) for i, t in enumerate(turns)]
