@@ -68,8 +68,8 @@ def camera_bounds(spark, d):
 
 
 def project_point(spark, d):
-    v = s.views(spark, d).filter("zoom <= 10")
-    p = s.places(spark, d).filter("event_id % 97 = 0").select("event_id", c("lon").alias("p_lon"), c("lat").alias("p_lat"), F.expr("cast(event_id % 25 as int)").alias("view_id"))
+    v = s.views(spark, d)
+    p = s.places(spark, d).select("event_id", c("lon").alias("p_lon"), c("lat").alias("p_lat"), F.expr("cast(event_id % 25 as int)").alias("view_id"))
     return p.join(v, "view_id").select("view_id", "event_id", F.round(camera.project_x(c("p_lon")), 3).alias("sx"), F.round(camera.project_y(c("p_lat")), 3).alias("sy"))
 
 

@@ -47,3 +47,23 @@ def test_label_layout_draws_one_of_a_stack(spark):
     pooled = labels.pool(spark.createDataFrame(rows, "frame int, id int, text string, x int, y int, priority int"))
     assert pooled.count() == 128
     assert [r.id for r in labels.layout(pooled, 400, 400).collect()] == [139]
+
+
+def test_project_point_has_every_event(spark):
+    import math
+
+    from tessera.plans import queries, surrogate
+
+    got = {r.event_id: (r.view_id, r.sx, r.sy) for r in queries.project_point(spark, SF).collect()}
+    views = {v.view_id: v for v in surrogate.views(spark, SF).collect()}
+    places = surrogate.places(spark, SF).collect()
+    assert len(got) == len(places)
+    y = lambda lat: (1 - math.asinh(math.tan(math.radians(lat))) / math.pi) / 2
+    for p in places:
+        v = views[p.event_id % 25]
+        n = 1 << v.zoom
+        dx = ((p.lon - v.lon) / 360 + 0.5) % 1 - 0.5
+        view_id, sx, sy = got[p.event_id]
+        assert view_id == v.view_id and abs(sy - (v.height / 2 + (y(p.lat) - y(v.lat)) * n * 256)) < 0.002
+        off = sx - (v.width / 2 + dx * n * 256)
+        assert min(abs(off), abs(abs(off) - n * 256)) < 0.002
