@@ -22,14 +22,14 @@ def decode_columns(rows: DataFrame) -> DataFrame:
 
 
 def lookup(tiles: DataFrame, directory: DataFrame, width: int = 1 << 12) -> DataFrame:
-    """tile_id of ``tiles`` with offset and length of the entry whose run holds
-    it, null without one.
+    """archive and tile_id of ``tiles`` with offset and length of the entry of
+    that archive whose run holds the tile, null without one.
 
     Runs are dealt to blocks of ``width`` ids, so the range join has a key."""
     runs = directory.withColumn("block", F.explode(F.sequence(F.expr(f"tile_id div {width}"), F.expr(f"(tile_id + run_length - 1) div {width}"))))
-    runs = runs.select("block", c("tile_id").alias("first"), "run_length", "offset", "length")
+    runs = runs.select("block", c("archive").alias("pack"), c("tile_id").alias("first"), "run_length", "offset", "length")
     asked = tiles.withColumn("block", F.expr(f"tile_id div {width}"))
-    hit = asked.join(runs, (asked["block"] == runs["block"]) & (c("tile_id") >= c("first")) & (c("tile_id") < c("first") + c("run_length")), "left")
+    hit = asked.join(runs, (asked["block"] == runs["block"]) & (c("archive") == c("pack")) & (c("tile_id") >= c("first")) & (c("tile_id") < c("first") + c("run_length")), "left")
     return hit.select(*[tiles[x] for x in tiles.columns], "offset", "length")
 
 

@@ -39,13 +39,17 @@ def hilbert_tile_id(spark, d):
     return t.select("event_id", geo.tile_id(c("z"), c("x"), c("y")).alias("tile_id"), geo.tiles_before(c("z")).alias("before"))
 
 
-def tile_density_by_zoom(spark, d):
-    rows = s.places(spark, d).withColumn("z", F.explode(F.sequence(F.lit(0), F.lit(8))))
+def _density(spark, d, top):
+    rows = s.places(spark, d).withColumn("z", F.explode(F.sequence(F.lit(0), F.lit(top))))
     n = geo.tiles_per_axis(c("z"))
     t = rows.select("z", geo.tile_index(geo.tile_x(c("lon"), n), n).alias("x"), geo.tile_index(geo.tile_y(c("lat"), n), n).alias("y"))
     return t.groupBy("z", "x", "y").agg(F.count("*").alias("n"))
 
 
+def tile_density_by_zoom(spark, d):
+    return _density(spark, d, 8)
+
+
 def visible_tiles(spark, d):
     return camera.visible_tiles(s.views(spark, d)).select("view_id", "zoom", "x", "y", "ordinal")
 
@@ -59,8 +63,8 @@ def distinct_tiles(spark, d):
 
 
 def present_missing_tiles(spark, d):
-    have = tile_density_by_zoom(spark, d).withColumnRenamed("z", "zoom")
-    return visible_tiles(spark, d).filter("zoom <= 8").join(have, ["zoom", "x", "y"], "left").groupBy("view_id").agg(F.count("n").alias("present"), F.sum(c("n").isNull().cast("long")).alias("missing"), F.coalesce(F.sum("n"), F.lit(0)).alias("places"))
+    have = _density(spark, d, 14).withColumnRenamed("z", "zoom")
+    return visible_tiles(spark, d).join(have, ["zoom", "x", "y"], "left").groupBy("view_id").agg(F.count("n").alias("present"), F.sum(c("n").isNull().cast("long")).alias("missing"), F.coalesce(F.sum("n"), F.lit(0)).alias("places"))
 
 
 def camera_bounds(spark, d):
@@ -195,9 +199,11 @@ def directory_decode(spark, d):
 
 
 def asof_tile_lookup(spark, d):
-    entries = directory.decode_columns(_encoded(spark, d)).filter("archive = 1")
-    asked = s.read(spark, d, "events").selectExpr("event_id", "event_id * 3 % 2500 as tile_id")
-    return directory.lookup(asked, entries).select("event_id", "tile_id", "offset", "length")
+    """Every event's tile in every archive."""
+    entries = directory.decode_columns(_encoded(spark, d))
+    archives = F.broadcast(_directory(spark, d).select("archive").distinct())
+    asked = s.read(spark, d, "events").selectExpr("event_id", "event_id * 3 % 2500 as tile_id").crossJoin(archives)
+    return directory.lookup(asked, entries).select("event_id", "archive", "tile_id", "offset", "length")
 
 
 def size_summary(spark, d):

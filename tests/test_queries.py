@@ -67,3 +67,24 @@ def test_project_point_has_every_event(spark):
         assert view_id == v.view_id and abs(sy - (v.height / 2 + (y(p.lat) - y(v.lat)) * n * 256)) < 0.002
         off = sx - (v.width / 2 + dx * n * 256)
         assert min(abs(off), abs(abs(off) - n * 256)) < 0.002
+
+
+def test_lookup_in_all_archives(spark):
+    from tessera.plans import queries
+
+    got = {(r.event_id, r.archive): (r.offset, r.length) for r in queries.asof_tile_lookup(spark, SF).collect()}
+    entries = queries.directory_decode(spark, SF).collect()
+    held = {(e.archive, e.tile_id + i): (e.offset, e.length) for e in entries for i in range(e.run_length)}
+    archives = {e.archive for e in entries}
+    asked = [(r.event_id, a, r.event_id * 3 % 2500) for r in spark.read.parquet(f"{SF}/events.parquet").select("event_id").collect() for a in archives]
+    assert len(archives) == 5 and got == {(i, a): held.get((a, t), (None, None)) for i, a, t in asked}
+
+
+def test_present_missing_tiles_has_every_view(spark):
+    from tessera.plans import queries
+
+    seen = {}
+    for r in queries.visible_tiles(spark, SF).collect():
+        seen[r.view_id] = seen.get(r.view_id, 0) + 1
+    got = {r.view_id: r.present + r.missing for r in queries.present_missing_tiles(spark, SF).collect()}
+    assert len(got) == 25 and got == seen
