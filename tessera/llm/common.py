@@ -33,7 +33,22 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     lineage, and any executor can read it after another one is lost."""
     path = scratch(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.scratch_path = path
+    return out
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder by the file system that it lies in."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def forget(*tables: DataFrame) -> None:
+    """Delete tables of ``materialize`` that nothing reads any more: all that was
+    made of them has itself been written."""
+    for t in tables:
+        remove(t.sparkSession, t.scratch_path)
 
 
 def text_batches(spark: SparkSession, rows: int = 1000) -> None:
@@ -101,79 +116,94 @@ def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
     """(node, root): the least node of the component of each node with an edge.
 
     ``edges`` has two long columns. Partitions are contracted to stars first,
-    then large-star and small-star rounds run until nothing changes; each round
-    is a table in the shared folder. Empty input gives an empty result.
+    then large-star and small-star rounds run until nothing changes; each step
+    is a table in the shared folder, deleted when the next one is there. Least
+    neighbours are tables of their own, so a star's centre is a key of a plain
+    join of two tables, which Spark splits when it is large. Empty input gives
+    an empty result.
     """
     a, b = edges.columns
     current = materialize(edges.select(F.col(a).alias("u"), F.col(b).alias("v")).filter("u <> v").mapInArrow(_contract, "u long, v long"), "edges")
     mark = None
     for _ in range(rounds):
         both = current.union(current.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        least = materialize(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
         large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = large.filter("u <> v").distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        large = materialize(large.filter("u <> v").distinct(), "large")
+        low = materialize(large.groupBy("u").agg(F.min("v").alias("m")), "low")
         small = large.join(low, "u").select(F.explode(F.array(F.struct(F.col("u").alias("a"), F.col("m").alias("b")), F.struct(F.col("v").alias("a"), F.col("m").alias("b")))).alias("e"))
-        current = materialize(small.select(F.col("e.a").alias("u"), F.col("e.b").alias("v")).filter("u <> v").distinct(), "stars")
+        after = materialize(small.select(F.col("e.a").alias("u"), F.col("e.b").alias("v")).filter("u <> v").distinct(), "stars")
+        forget(current, least, large, low)
+        current = after
         now = current.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
         if now == mark:
             break
         mark = now
     else:
         raise RuntimeError("components did not converge")
-    return current.select(F.col("u").alias("node"), F.col("v").alias("root")).union(current.select(F.col("v"), F.col("v")).distinct())
+    roots = materialize(current.select(F.col("u").alias("node"), F.col("v").alias("root")).union(current.select(F.col("v"), F.col("v")).distinct()), "roots")
+    forget(current)
+    return roots
 
 
-# -- Bloom filter of fixed size -------------------------------------------------
+# -- Bloom filter sized by its keys ----------------------------------------------
 
-BLOOM_BITS = 1 << 24
-BLOOM_CHUNK = 1 << 17  # bytes
+#: bits for each key, and the least and the most bits (32 MB) of a filter
+BLOOM_PER_KEY, BLOOM_LEAST, BLOOM_MOST = 16, 1 << 20, 1 << 28
+BLOOM_CHUNK = 1 << 20  # bits of a chunk
 
 
-def _bloom_places(h):
-    h = h.view(np.uint64) if h.dtype == np.int64 else h
-    mask = np.uint64(BLOOM_BITS - 1)
-    return h & mask, (h >> np.uint64(24)) & mask
+def _bloom_places(h: np.ndarray, bits: int):
+    h = h.view(np.uint64)
+    mask = np.uint64(bits - 1)
+    return h & mask, (h >> np.uint64(32)) & mask
 
 
-def _bloom_build(batches):
-    bits = np.zeros(BLOOM_BITS, bool)
-    for batch in batches:
-        for at in _bloom_places(batch.column(0).to_numpy()):
-            bits[at] = True
-    packed = np.packbits(bits)
-    for c in range(len(packed) // BLOOM_CHUNK):
-        part = packed[c * BLOOM_CHUNK : (c + 1) * BLOOM_CHUNK]
-        if part.any():
-            yield pa.RecordBatch.from_arrays([pa.array([c], pa.int32()), pa.array([part.tobytes()], pa.binary())], ["chunk", "bits"])
+def _bloom_build(bits: int):
+    def run(batches):
+        for batch in batches:
+            at = np.unique(np.concatenate(_bloom_places(batch.column(0).to_numpy(), bits)))
+            if not len(at):
+                continue
+            chunk = (at // BLOOM_CHUNK).astype(np.int32)
+            starts = np.flatnonzero(np.diff(chunk, prepend=-1))
+            low = (at % BLOOM_CHUNK).astype("<u4")
+            yield pa.RecordBatch.from_arrays([pa.array(chunk[starts]), pa.array([x.tobytes() for x in np.split(low, starts[1:])], pa.binary())], ["chunk", "low"])
+
+    return run
 
 
 def _bloom_merge(batches):
     total = {}
     for batch in batches:
         for c, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            total[c] = total.get(c, 0) | np.frombuffer(b, np.uint8)
+            if c not in total:
+                total[c] = np.zeros(BLOOM_CHUNK // 8, np.uint8)
+            on = np.zeros(BLOOM_CHUNK, bool)
+            on[np.frombuffer(b, "<u4")] = True
+            total[c] |= np.packbits(on)
     for c, x in total.items():
         yield pa.RecordBatch.from_arrays([pa.array([c], pa.int32()), pa.array([x.tobytes()], pa.binary())], ["chunk", "bits"])
 
 
 def maybe_in(hashes: DataFrame):
     """A function of a long column: false only where the value isn't among
-    ``hashes`` (one long column of well-mixed hashes). The filter has 2 MB at any
-    size; when it is too full it lets more pass, so an exact join must follow.
-    It keeps texts that cannot match from being shuffled."""
-    n = BLOOM_BITS // 8 // BLOOM_CHUNK
-    rows = hashes.mapInArrow(_bloom_build, "chunk int, bits binary").repartition(n, "chunk").mapInArrow(_bloom_merge, "chunk int, bits binary").collect()
-    packed = np.zeros(BLOOM_BITS // 8, np.uint8)
+    ``hashes`` (one long column of well-mixed hashes, read twice: to count them
+    and to enter them). 16 bits for each key, 32 MB at most; a filter that is too
+    full lets more pass, so an exact join must follow. It keeps texts that cannot
+    match from being shuffled."""
+    bits = min(max(BLOOM_LEAST, 1 << (hashes.count() * BLOOM_PER_KEY).bit_length()), BLOOM_MOST)
+    rows = hashes.mapInArrow(_bloom_build(bits), "chunk int, low binary").repartition("chunk").mapInArrow(_bloom_merge, "chunk int, bits binary").toLocalIterator()
+    packed = np.zeros(bits // 8, np.uint8)
     for r in rows:
-        packed[r.chunk * BLOOM_CHUNK : (r.chunk + 1) * BLOOM_CHUNK] = np.frombuffer(r.bits, np.uint8)
+        packed[r.chunk * BLOOM_CHUNK // 8 : (r.chunk + 1) * BLOOM_CHUNK // 8] = np.frombuffer(r.bits, np.uint8)
     held = hashes.sparkSession.sparkContext.broadcast(packed)
 
     @F.pandas_udf("boolean")
     def test(h: pd.Series) -> pd.Series:
-        bits, out = held.value, np.ones(len(h), bool)
-        for at in _bloom_places(h.to_numpy(np.int64)):
-            out &= (bits[(at >> np.uint64(3)).astype(np.int64)] >> (7 - (at & np.uint64(7)).astype(np.uint8))) & 1 == 1
+        marks, out = held.value, np.ones(len(h), bool)
+        for at in _bloom_places(h.to_numpy(np.int64), bits):
+            out &= (marks[(at >> np.uint64(3)).astype(np.int64)] >> (7 - (at & np.uint64(7)).astype(np.uint8))) & 1 == 1
         return pd.Series(out)
 
     return test

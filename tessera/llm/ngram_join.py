@@ -4,13 +4,18 @@ A document is the set of its distinct ``k``-word shingles (64-bit hashes). Two
 documents link when their Jaccard similarity reaches ``percent`` / 100, that is
 when they share at least T shingles, T following from both sizes.
 
-* A fixed-size count sketch over all documents orders shingles from rare to
+* A count sketch over all shingles of all documents orders shingles from rare to
   common; any two linked documents share a shingle among the
-  ``n - ceil(t n) + 1`` rarest of each, so only those are dealt out.
-* All holders of such a shingle go to the block of its first holder. Inside a
-  block, ``DivideSkip`` answers the T-occurrence query of each document: it
-  heap-merges its short inverted lists, binary-probes the long ones, and retains
-  documents that reach T.
+  ``n - ceil(t n) + 1`` rarest of each. Of those, the ones that the sketch knows
+  to be in one document only are left out, and the others are dealt out. The
+  sketch has a place for each shingle up to ``MOST_PLACES``; in a larger corpus
+  it still tells common shingles from others, but knows fewer single ones, so
+  more is dealt out. Results are the same with any sketch.
+* All holders of such a shingle go to the block of its first holder. Holders
+  within a task are gathered there first, so a shingle that very many documents
+  hold is no hot key. Inside a block, ``DivideSkip`` answers the T-occurrence
+  query of each document: it heap-merges its short inverted lists, binary-probes
+  the long ones, and retains documents that reach T.
 * Blocks of more than ``block_size`` documents are dealt over several tasks that
   all hold the first document; what stays unlinked to the largest component of
   the block is searched against every part of the block.
@@ -32,19 +37,18 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import components, materialize, maybe_in, strings, text_batches
+from tessera.llm.common import components, forget, materialize, maybe_in, strings, text_batches
 
 _M = np.uint64(0x9E3779B97F4A7C15)
 _A = np.uint64(0xBF58476D1CE4E5B9)
-#: The count sketch has 2**SKETCH_BITS places of two bits (32 MB) for the shingles
-#: of one hash class in four. More bits tell rare from rarer in larger corpora;
-#: they only order shingles, results are exact with any order.
-SKETCH_BITS = 27
+#: Least and most places of the count sketch, two bits each once it is merged (64 MB
+#: at most). They only order shingles and leave out single ones; results are exact.
+LEAST_PLACES, MOST_PLACES = 1 << 20, 1 << 28
+#: bytes of text for each shingle, to size the sketch by the corpus
+TEXT_BYTES = 6.5
 CHUNK = 1 << 16
-HOT_BLOCKS = 1000
-_SHIFT, _CLASS = np.uint64(64 - SKETCH_BITS), np.uint64(3)
-#: rank of shingles by level (once, 2 to 7, 8 to 63 documents, more); not counted
-RANKS, UNCOUNTED = np.array([0, 1, 2, 4], np.uint64), np.uint64(3)
+#: shingles that a task counts, and postings that it gathers, at a time
+FLUSH = 2_000_000
 
 
 class WordHashes(dict):
@@ -175,29 +179,44 @@ def search_block(rows: list[tuple[int, int, bool, np.ndarray]], percent: int) ->
 # -- distributed steps --------------------------------------------------------
 
 
-def _places(s: np.ndarray) -> np.ndarray:
-    return (s[(s & _CLASS) == 0] >> _SHIFT).astype(np.uint32)
+def _places(s: np.ndarray, places: int) -> np.ndarray:
+    return ((s >> np.uint64(32)) * np.uint64(places) >> np.uint64(32)).astype(np.uint32)
 
 
-def _sketch(k: int):
-    """Places of a task's shingles, each as often as it occurs but 64 times at
-    most per million, by chunk."""
+def _gaps(places: np.ndarray) -> tuple[np.ndarray, list[bytes]]:
+    """Chunks of sorted places, and the steps from each place to the next in its
+    chunk as bytes; 255 is a step of 255 that ends at no place."""
+    chunks = places // CHUNK
+    starts = np.flatnonzero(np.diff(chunks, prepend=-1))
+    gap = np.diff(places, prepend=0).astype(np.int64)
+    gap[starts] = places[starts] % CHUNK
+    ends = np.cumsum(gap // 255 + 1)
+    out = np.full(ends[-1], 255, np.uint8)
+    out[ends - 1] = gap % 255
+    return chunks[starts], [x.tobytes() for x in np.split(out, ends[starts[1:] - 1])]
 
-    def told(places):
-        places, counts = np.unique(np.concatenate(places), return_counts=True)
-        places = np.repeat(places, np.minimum(counts, 64))
-        chunks = places // CHUNK
-        starts = np.flatnonzero(np.diff(chunks, prepend=-1))
-        low = (places % CHUNK).astype(np.uint16)
-        return pa.RecordBatch.from_arrays([pa.array(chunks[starts], pa.int32()), pa.array([x.tobytes() for x in np.split(low, starts[1:])], pa.binary())], ["chunk", "low"])
+
+def _from_gaps(steps: bytes) -> np.ndarray:
+    b = np.frombuffer(steps, np.uint8)
+    return np.cumsum(b, dtype=np.int64)[b != 255]
+
+
+def _sketch(k: int, places: int, most: int):
+    """Places of a task's shingles, each as often as it occurs but ``most`` times
+    for each FLUSH shingles, by chunk."""
+
+    def told(held):
+        at, counts = np.unique(np.concatenate(held), return_counts=True)
+        chunks, steps = _gaps(np.repeat(at, np.minimum(counts, most)))
+        return pa.RecordBatch.from_arrays([pa.array(chunks, pa.int32()), pa.array(steps, pa.binary())], ["chunk", "steps"])
 
     def run(batches):
         cache, held, n = WordHashes(), [], 0
         for batch in batches:
             for t in strings(batch.column(0)):
-                held.append(_places(shingles(t, k, cache)))
+                held.append(_places(shingles(t, k, cache), places))
                 n += len(held[-1])
-                if n > 1_000_000:
+                if n > FLUSH:
                     yield told(held)
                     held, n = [], 0
         if n:
@@ -206,82 +225,133 @@ def _sketch(k: int):
     return run
 
 
-def _merge_sketch(batches):
-    total: dict[int, np.ndarray] = {}
-    for batch in batches:
-        for c, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            if c not in total:
-                total[c] = np.zeros(CHUNK, np.uint32)
-            total[c] += np.bincount(np.frombuffer(b, np.uint16), minlength=CHUNK).astype(np.uint32)
-    for c, x in total.items():
-        level = np.searchsorted([1, 7, 63], x).astype(np.uint8).reshape(-1, 4)
-        packed = level[:, 0] | level[:, 1] << 2 | level[:, 2] << 4 | level[:, 3] << 6
-        yield pa.RecordBatch.from_arrays([pa.array([c], pa.int32()), pa.array([packed.tobytes()], pa.binary())], ["chunk", "levels"])
-
-
-def frequency_levels(texts: DataFrame, k: int) -> np.ndarray:
-    """Two bits for each place of shingles: in how many documents they are.
-    Fixed size at any input size; a task's counts stop at 64."""
-    merged = texts.mapInArrow(_sketch(k), "chunk int, low binary").repartition(32, "chunk").mapInArrow(_merge_sketch, "chunk int, levels binary")
-    out = np.zeros(1 << SKETCH_BITS - 2, np.uint8)
+def _merge_sketch(levels: list[float]):
+    def run(batches):
+        total: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for c, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                if c not in total:
+                    total[c] = np.zeros(CHUNK, np.uint32)
+                total[c] += np.bincount(_from_gaps(b), minlength=CHUNK).astype(np.uint32)
+        for c, x in total.items():
+            level = np.searchsorted(levels, x).astype(np.uint8).reshape(-1, 4)
+            packed = level[:, 0] | level[:, 1] << 2 | level[:, 2] << 4 | level[:, 3] << 6
+            yield pa.RecordBatch.from_arrays([pa.array([c], pa.int32()), pa.array([packed.tobytes()], pa.binary())], ["chunk", "levels"])
+
+    return run
+
+
+def frequency_levels(texts: DataFrame, k: int, most_places: int = MOST_PLACES) -> tuple[np.ndarray, int]:
+    """Two bits for each place of shingles, and the count of places: a shingle is
+    in one document (0), or its place was met as often as others (1), clearly more
+    often (2) or very often (3). Chance meetings are allowed for by the mean count
+    of a place, so that a full sketch still tells common shingles from others."""
+    size = texts.agg(F.coalesce(F.sum(F.octet_length("text").cast("double")), F.lit(0.0))).first()[0] / TEXT_BYTES
+    places = CHUNK * math.ceil(min(max(size, LEAST_PLACES), most_places) / CHUNK)
+    mean = size / places
+    levels = [1, 7 + 4 * mean, 63 + 16 * mean]
+    merged = texts.mapInArrow(_sketch(k, places, int(levels[-1]) + 1), "chunk int, steps binary").repartition("chunk").mapInArrow(_merge_sketch(levels), "chunk int, levels binary")
+    out = np.zeros(places // 4, np.uint8)
     for r in merged.toLocalIterator():
         out[r.chunk * CHUNK // 4 : (r.chunk + 1) * CHUNK // 4] = np.frombuffer(r.levels, np.uint8)
-    return out
+    return out, places
+
 
+def rare_first(s: np.ndarray, levels: np.ndarray, places: int) -> tuple[np.ndarray, np.ndarray]:
+    """The same order of shingles for all documents, rare ones first, then by
+    hash (``s`` is sorted), and the level of each."""
+    at = _places(s, places).astype(np.int64)
+    level = levels[at >> 2] >> (2 * (at & 3)).astype(np.uint8) & 3
+    return np.argsort(level, kind="stable"), level
 
-def rank(s: np.ndarray, levels: np.ndarray) -> np.ndarray:
-    """The same order of shingles for all documents: rare ones first, then by hash."""
-    out = np.full(len(s), UNCOUNTED)
-    counted = (s & _CLASS) == 0
-    places = (s[counted] >> _SHIFT).astype(np.int64)
-    out[counted] = RANKS[levels[places >> 2] >> (2 * (places & 3)).astype(np.uint8) & 3]
-    return out << np.uint64(56) | s >> np.uint64(8)
 
+def _describe(k: int, percent: int, sketch):
+    """Of each text: count and digest of its shingles, and those of its rarest
+    that may be in another document too."""
 
-def _describe(k: int, percent: int, levels):
     def run(batches):
-        cache, level = WordHashes(), levels.value
+        cache, (levels, places) = WordHashes(), sketch.value
         for batch in batches:
-            ids, texts = batch.column(0), strings(batch.column(1))
+            ids, sig, texts = batch.column(0), batch.column(1), strings(batch.column(2))
             for i in range(0, len(texts), 2000):
                 n, digest, keys = [], [], []
                 for t in texts[i : i + 2000]:
                     s = shingles(t, k, cache)
                     n.append(len(s))
                     digest.append(xxhash.xxh3_128_digest(s.tobytes()))
-                    p = len(s) - least_overlap(len(s), percent) + 1 if len(s) else 0
-                    keys.append(s[np.argsort(rank(s, level))[:p]].view(np.int64))
+                    order, level = rare_first(s, levels, places)
+                    p = order[: len(s) - least_overlap(len(s), percent) + 1] if len(s) else order
+                    keys.append(s[p[level[p] > 0]].view(np.int64))
                 ends = np.cumsum([0, *map(len, keys)]).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([ids.slice(i, len(n)), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(keys)))], ["doc_id", "n_shingles", "digest", "keys"])
+                yield pa.RecordBatch.from_arrays([ids.slice(i, len(n)), sig.slice(i, len(n)), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(keys)))], ["doc_id", "sig", "n_shingles", "digest", "keys"])
 
     return run
 
 
+def _gather(batches):
+    """Postings (node, key) of a task, FLUSH at a time: each key's least node there
+    is its head; ``many`` tells whether it has other nodes there."""
+
+    def told(nodes, keys):
+        order = np.lexsort((nodes, keys))
+        nodes, keys = nodes[order], keys[order]
+        first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+        size = np.diff(first, append=len(keys))
+        for i in range(0, len(keys), 100_000):
+            part = slice(i, i + 100_000)
+            yield pa.RecordBatch.from_arrays([pa.array(keys[part]), pa.array(np.repeat(nodes[first], size)[part]), pa.array(nodes[part]), pa.array(np.repeat(size > 1, size)[part])], ["key", "head", "node", "many"])
+
+    held, n = [], 0
+    for batch in batches:
+        held.append((batch.column(0).to_numpy(), batch.column(1).to_numpy()))
+        n += batch.num_rows
+        if n >= FLUSH:
+            yield from told(*map(np.concatenate, zip(*held)))
+            held, n = [], 0
+    if n:
+        yield from told(*map(np.concatenate, zip(*held)))
+
+
+MEMBER = "block long, part int, piece int, node long, comp long, asked boolean, items array<long>"
+
+
 def _sets(k: int):
-    """Sets of texts that have the digest asked for; rows are sorted by node, of
-    repeated rows one is given."""
+    """Sets of texts that have the digest asked for, once for each place that a
+    node goes to; rows are sorted by node and group of places, of repeated rows
+    one is taken."""
 
     def run(batches):
         cache, last = WordHashes(), None
         for batch in batches:
-            node, want, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist(), strings(batch.column(2))
-            for i in range(0, len(texts), 2000):
-                keep, sets = [], []
-                for a, d, t in zip(node[i : i + 2000], want[i : i + 2000], texts[i : i + 2000]):
-                    if a == last:
-                        continue
-                    s = shingles(t, k, cache)
-                    if xxhash.xxh3_128_digest(s.tobytes()) == d:
-                        last = a
-                        keep.append(a)
-                        sets.append(s.view(np.int64))
-                if keep:
-                    ends = np.cumsum([0, *map(len, sets)]).astype(np.int32)
-                    yield pa.RecordBatch.from_arrays([pa.array(keep, pa.int64()), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets)))], ["node", "items"])
+            node, group, want, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strings(batch.column(3))
+            places = batch.column(4).to_pylist()
+            rows, n = [], 0
+            for i in range(len(node)):
+                if (node[i], group[i]) == last:
+                    continue
+                s = shingles(texts[i], k, cache)
+                if xxhash.xxh3_128_digest(s.tobytes()) != want[i]:
+                    continue
+                last = node[i], group[i]
+                for p in places[i]:
+                    rows.append((p["block"], p["part"], p["piece"], node[i], p["comp"], p["asked"], s.view(np.int64)))
+                    n += len(s)
+                    if n > 500_000:
+                        yield _members(rows)
+                        rows, n = [], 0
+            if rows:
+                yield _members(rows)
 
     return run
 
 
+def _members(rows):
+    block, part, piece, node, comp, asked, sets = zip(*rows)
+    ends = np.cumsum([0, *map(len, sets)]).astype(np.int32)
+    items = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets)))
+    return pa.RecordBatch.from_arrays([pa.array(block, pa.int64()), pa.array(part, pa.int32()), pa.array(piece, pa.int32()), pa.array(node, pa.int64()), pa.array(comp, pa.int64()), pa.array(asked, pa.bool_()), items], ["block", "part", "piece", "node", "comp", "asked", "items"])
+
+
 def _blocks(percent: int):
     """Partitions sorted by block, part and piece; one block is held at a time."""
 
@@ -308,92 +378,109 @@ def _blocks(percent: int):
     return run
 
 
-def _search(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """members: block, part, piece, node, comp, asked."""
-    rows = members.join(sets, "node").select("block", "part", "piece", "node", "comp", "asked", "items")
-    return rows.repartition("block", "part", "piece").sortWithinPartitions("block", "part", "piece").mapInArrow(_blocks(percent), "u long, v long")
+def _search(members: DataFrame, nodes: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """Links within each (block, part, piece). members: block, part, piece, node,
+    comp, asked; nodes: node, digest, id, none, sig of all that can be members;
+    docs: id, none, sig, text.
+
+    Only texts of members are shuffled, by id and a hash of the text, and their
+    sets are made anew; a node goes to up to 256 places in one row."""
+    places = members.groupBy("node", F.expr("pmod(xxhash64(block, part, piece), 1 + part div 256)").alias("bunch"))
+    places = places.agg(F.collect_list(F.struct("block", "part", "piece", "comp", "asked")).alias("places"))
+    need = materialize(places.join(nodes, "node"), "need")
+    wanted = maybe_in(need.select(F.xxhash64("id", "none", "sig")))
+    few = docs.filter(wanted(F.xxhash64("id", "none", "sig")))
+    texts = need.join(few, ["id", "none", "sig"]).select("node", "bunch", "digest", "text", "places").sortWithinPartitions("node", "bunch")
+    rows = texts.mapInArrow(_sets(k), MEMBER)
+    found = rows.repartition("block", "part", "piece").sortWithinPartitions("block", "part", "piece").mapInArrow(_blocks(percent), "u long, v long")
+    links = materialize(found, "links")
+    forget(need)
+    return links
 
 
-def ngram_components(docs: DataFrame, k: int = 5, percent: int = 80, block_size: int = 256) -> DataFrame:
-    """doc_id, n_shingles, component_id for each row of ``docs`` (doc_id, text).
+def ngram_components(docs: DataFrame, k: int = 5, percent: int = 80, block_size: int = 256, most_places: int = MOST_PLACES) -> DataFrame:
+    """doc_id, n_shingles, component_id, digest for each row of ``docs`` (doc_id,
+    text).
 
     component_id is the least doc_id reachable over links, the row's own
     included. Null or wordless texts: no shingles, linked with nothing. Null ids
     come last among ids, and stay null if a component has no other. Repeated
     rows are rows of their own in one component. Other columns are ignored.
-    Shingles are compared by 64-bit hashes.
+    Shingles are compared by 64-bit hashes; ``digest`` is that of the set.
     """
     spark = docs.sparkSession
     text_batches(spark)
-    docs = docs.select("doc_id", "text")
-    levels = spark.sparkContext.broadcast(frequency_levels(docs.select("text"), k))
-    rows = docs.mapInArrow(_describe(k, percent, levels), "doc_id long, n_shingles long, digest binary, keys array<long>")
+    docs = docs.select("doc_id", F.xxhash64("text").alias("sig"), "text")
+    sketch = spark.sparkContext.broadcast(frequency_levels(docs.select("text"), k, most_places))
+    rows = docs.mapInArrow(_describe(k, percent, sketch), "doc_id long, sig long, n_shingles long, digest binary, keys array<long>")
     rows = materialize(rows.withColumn("row", F.monotonically_increasing_id()), "sets")
-    levels.destroy()  # or Python workers would keep it
-    full = rows.filter("n_shingles > 0")
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("doc_id"), F.col("row").alias("row")))
-    classes = materialize(full.groupBy("digest").agg(first.alias("first"), F.count("*").alias("size")).select("digest", F.col("first.row").alias("node"), F.col("first.doc_id").alias("least"), "size"), "classes")
-
-    # later rows of a class are few or the filter tells them apart: keys of the
-    # others need no shuffle here
-    later = full.join(classes.filter("size > 1").select("digest", F.col("node").alias("head")), "digest").filter("row <> head").select("row")
-    later = materialize(later, "later")
-    maybe = maybe_in(later.select(F.xxhash64("row")))(F.xxhash64("row"))
-    keyed = rows.select("row", "n_shingles", "keys")
-    keyed = keyed.filter(~maybe).union(keyed.filter(maybe).join(later, "row", "left_anti"))
-
-    # sizes of linked documents differ by one band at most: each document is
-    # dealt to its band and the next
+    sketch.destroy()  # or Python workers would keep it
+    key = (F.coalesce("doc_id", F.lit(0)).alias("id"), F.col("doc_id").isNull().alias("none"), "sig")
+    docs = docs.select(*key, "text")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("doc_id"), F.col("row").alias("row"), F.col("sig").alias("sig")))
+    classes = rows.filter("n_shingles > 0").groupBy("digest").agg(first.alias("first"), F.count("*").alias("size"))
+    classes = materialize(classes.select("digest", F.col("first.row").alias("node"), F.col("first.doc_id").alias("doc_id"), F.col("first.sig").alias("sig"), "size"), "classes")
+    nodes = classes.select("node", "digest", *key)
+
+    # one row of each class deals out its keys. Sizes of linked documents differ
+    # by one band at most: each is dealt to its band and the next
+    keyed = rows.filter("size(keys) > 0").select(F.col("row").alias("node"), "n_shingles", "keys").join(classes.select("node"), "node")
     band = F.floor(F.log(F.col("n_shingles").cast("double")) / (1.0001 * math.log(100 / percent))).cast("int") if percent < 100 else F.col("n_shingles").cast("int")
-    postings = keyed.filter("n_shingles > 0").select(F.col("row").alias("node"), F.explode("keys").alias("key"), band.alias("band"))
-    postings = postings.select("node", F.explode(F.array(F.xxhash64("key", "band"), F.xxhash64("key", F.col("band") + 1))).alias("key")).repartition("key")
-    shared = postings.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("block")).filter("n > 1").select("key", "block")
-    pairs = materialize(postings.join(shared, "key").select("block", "node").distinct(), "blocks")
-
-    need = pairs.select("node").distinct().join(classes.select("node", "digest"), "node").join(rows.select(F.col("row").alias("node"), "doc_id"), "node")
-    key = (F.coalesce("doc_id", F.lit(0)).alias("id"), F.col("doc_id").isNull().alias("none"))
-    need = materialize(need.select("node", "digest", *key), "need")
-    wanted = maybe_in(need.select(F.xxhash64("id", "none")))
-    few = docs.select("text", *key).filter(wanted(F.xxhash64("id", "none")))
-    texts = need.join(few, ["id", "none"]).select("node", "digest", "text").sortWithinPartitions("node")
-    sets = materialize(texts.mapInArrow(_sets(k), "node long, items array<long>"), "items")
-
-    sizes = pairs.groupBy("block").agg(F.count("*").alias("n")).select("block", "n", F.ceil(F.col("n") / block_size).cast("int").alias("parts"))
-    # fewer than HOT_BLOCKS blocks hold more than 1 / HOT_BLOCKS of the rows each:
-    # their sizes are broadcast, so that no task gets all rows of such a block
-    hot = F.col("n") > max(block_size, pairs.count() // HOT_BLOCKS)
-    large = F.broadcast(sizes.filter(hot).select("block", F.col("parts").alias("many")))
-    small = sizes.filter(~hot).select(F.col("block").alias("own"), "parts")
-    dealt = pairs.join(large, "block", "left").join(small, F.when(F.col("many").isNull(), F.col("block")) == F.col("own"), "left")
-    dealt = dealt.select("block", "node", F.coalesce("many", "parts").alias("parts"))
-    dealt = materialize(dealt.withColumn("part", F.expr("pmod(xxhash64(node), parts)").cast("int")), "dealt")
-    heads = sizes.select("block", F.explode(F.expr("sequence(0, parts - 1)")).alias("part"), F.col("block").alias("node"))
-    members = dealt.select("block", "part", "node").union(heads.select("block", "part", "node")).distinct()
-    links = materialize(_search(members.select("block", "part", F.lit(0).alias("piece"), "node", F.col("node").alias("comp"), F.lit(True).alias("asked")), sets, percent), "links")
-    roots = materialize(components(links), "roots")
+    postings = keyed.select("node", F.explode("keys").alias("key"), band.alias("band"))
+    postings = postings.select("node", F.explode(F.array(F.xxhash64("key", "band"), F.xxhash64("key", F.col("band") + 1))).alias("key"))
+    postings = materialize(postings.mapInArrow(_gather, "key long, head long, node long, many boolean"), "postings")
+    heads = postings.filter("node = head").select("key", "head", "many").repartition("key")
+    shared = heads.groupBy("key").agg(F.count("*").alias("n"), F.min("head").alias("block"), F.max("many").alias("any")).filter("n > 1 or any").select("key", "block")
+    blocks = materialize(heads.join(shared, "key").select("key", "head", "block", "many"), "heads")
+    others = postings.filter("many and node <> head").select("key", "head", "node")
+    within = others.join(blocks.filter("many").select("key", "head", "block"), ["key", "head"]).select("block", "node")
+    pairs = materialize(blocks.select("block", F.col("head").alias("node")).union(within).distinct(), "blocks")
+    forget(postings, blocks)
+
+    sizes = pairs.groupBy("block").agg(F.count("*").alias("n"))
+    sizes = materialize(sizes.select("block", F.ceil(F.col("n") / block_size).cast("int").alias("parts")), "sizes")
+    dealt = pairs.join(sizes, "block").withColumn("part", F.expr("pmod(xxhash64(node), parts)").cast("int"))
+    dealt = materialize(dealt, "dealt")
+    forget(pairs)
+    every = lambda n: F.explode(F.expr(f"sequence(0, {n} - 1)"))
+    firsts = sizes.select("block", every("parts").alias("part"), F.col("block").alias("node"))
+    members = dealt.select("block", "part", "node").union(firsts).distinct()
+    members = members.select("block", "part", F.lit(0).alias("piece"), "node", F.col("node").alias("comp"), F.lit(True).alias("asked"))
+    links = _search(members, nodes, docs, k, percent)
+    roots = components(links)
 
     # blocks over several tasks: what is outside the largest component of its
     # block is asked about in every part, unless it is in that component
     # (block, part) is the key of all joins here: a part has about block_size rows
-    slots = sizes.filter("parts > 1").select("block", F.explode(F.expr("sequence(0, parts - 1)")).alias("part"))
+    slots = sizes.filter("parts > 1").select("block", every("parts").alias("part"))
     wide = dealt.filter("parts > 1").join(roots.withColumnRenamed("root", "comp"), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     tally = wide.groupBy("block", "comp").agg(F.count("*").alias("n"))
     most = tally.groupBy("block").agg(F.max(F.struct("n", "comp")).alias("m"), F.count("*").alias("kinds")).filter("kinds > 1").select("block", F.col("m.comp").alias("main"))
     wide = materialize(wide.join(most.join(slots, "block"), ["block", "part"]), "wide")
-    asked = wide.filter("comp <> main")
-    pieces = asked.groupBy("block").agg(F.ceil(F.count("*") / block_size).cast("int").alias("pieces")).join(slots, "block")
-    asked = asked.join(pieces, ["block", "part"]).withColumn("piece", F.expr("pmod(xxhash64(node, 7), pieces)").cast("int"))
-    every = F.explode(F.expr("sequence(0, parts - 1)"))
-    q = asked.select("block", every.alias("part"), "piece", "node", "comp", F.lit(True).alias("asked"))
-    i = wide.join(pieces, ["block", "part"]).select("block", "part", F.explode(F.expr("sequence(0, pieces - 1)")).alias("piece"), "node", "comp", F.lit(False).alias("asked"))
-    more = materialize(_search(q.union(i), sets, percent), "more")
-    if not more.isEmpty():
-        roots = materialize(components(links.union(more)), "roots")
-
-    known = classes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")).filter("size > 1 or root <> node or least is not null")
-    least = known.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("kinds"), F.sum("size").alias("all"))
-    groups = known.join(least.filter("kinds > 1 or all > 1"), "root").select("digest", "component_id")
-    return rows.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("digest")).alias("digest")).join(groups, "digest", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    if not wide.isEmpty():
+        asked = wide.filter("comp <> main")
+        pieces = asked.groupBy("block").agg(F.ceil(F.count("*") / block_size).cast("int").alias("pieces")).join(slots, "block")
+        asked = asked.join(pieces, ["block", "part"]).withColumn("piece", F.expr("pmod(xxhash64(node, 7), pieces)").cast("int"))
+        q = asked.select("block", every("parts").alias("part"), "piece", "node", "comp", F.lit(True).alias("asked"))
+        i = wide.join(pieces, ["block", "part"]).select("block", "part", every("pieces").alias("piece"), "node", "comp", F.lit(False).alias("asked"))
+        more = _search(q.union(i), nodes, docs, k, percent)
+        if not more.isEmpty():
+            forget(roots)
+            roots = components(links.union(more))
+        forget(more)
+    forget(wide, dealt, sizes, links)
+
+    # both sides of these joins are tables, so Spark splits a large component or
+    # class of copies
+    known = classes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    known = materialize(known.select("digest", "root", "doc_id", "size"), "known")
+    least = known.groupBy("root").agg(F.min("doc_id").alias("component_id"), F.count("*").alias("kinds"), F.sum("size").alias("all"))
+    least = materialize(least.filter("kinds > 1 or all > 1").select("root", "component_id"), "least")
+    groups = materialize(known.join(least, "root").select("digest", "component_id"), "groups")
+    forget(classes, roots, known, least)
+    out = rows.select("doc_id", "n_shingles", "digest")
+    linked_ids = out.filter("n_shingles > 0").join(groups, "digest", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), "digest")
+    return linked_ids.union(out.filter("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), "digest"))
 
 
 # -- registered query ---------------------------------------------------------
@@ -401,4 +488,4 @@ def ngram_components(docs: DataFrame, k: int = 5, percent: int = 80, block_size:
 
 def op5_ngram_join(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return ngram_components(docs, k=4, percent=85)
+    return ngram_components(docs, k=4, percent=85).drop("digest")
