@@ -1,10 +1,12 @@
 """Toxicity of documents: a logistic model over words and word beginnings with a
 counterfactual penalty.
 
-Identity terms in labelled sentences are swapped for others; whatever a swap
-changes in the score is penalised, so that naming a group is no evidence. Where
-no labelled sentence names one, swaps are made in the first words of sampled
-neutral sentences, so that the penalty never lacks pairs.
+Every labelled text gets counterparts: each identity term that it names is
+swapped for each other term of its group and left out; a text that names none
+gets one inserted, chosen by a hash of the text. The fit penalises the squared
+change of the score's log-odds from a text to its counterparts, so that naming a
+group is no evidence. Terms of all groups are features of every model, whether
+they seem to tell or not, so that the penalty always has something to act on.
 """
 
 from __future__ import annotations
@@ -59,22 +61,28 @@ def document(text: str, cache: dict[bytes, list[int]]) -> np.ndarray:
     return np.array(sorted(got), np.int64)
 
 
-def swaps(sentences: list[str], limit: int = 4000) -> list[tuple[list[int], list[int]]]:
-    """Features that a swap takes away and those it adds."""
-    by_term = {t: group for group in IDENTITY for t in group}
+BY_TERM = {t.encode(): group for group in IDENTITY for t in group}
+TERMS = sorted(BY_TERM)
+
+
+def counterparts(held: set[bytes], stable: int) -> list[list[int]]:
+    """Changes of features from a text with the words ``held`` to each of its
+    counterparts: f for a feature that comes, -1 - f for one that goes. Features
+    that another word of the text has too stay. ``stable`` chooses the term that
+    a text without any gets."""
     out = []
-    for s in sentences:
-        held = words(s)
-        for t in (w.decode("utf-8", "replace") for w in sorted(held)):
-            for other in by_term.get(t, ()):
-                if other != t:
-                    out.append((features(t.encode()), features(other.encode())))
-        if len(out) >= limit:
-            return out
-    neutral = [(features(a.encode()), features(b.encode())) for group in IDENTITY for a in group for b in group if a != b]
-    # a neutral sentence without the term is a counterpart too
-    neutral += [(features(a.encode()), []) for group in IDENTITY for a in group]
-    return out + neutral
+    for t in sorted(held & BY_TERM.keys()):
+        rest = {f for w in held if w != t and w[:4] == t[:4] for f in features(w)}
+        gone = [-1 - f for f in features(t) if f not in rest]
+        out.append(gone)
+        for other in BY_TERM[t]:
+            if other.encode() not in held:
+                new = features(other.encode())
+                kept = {-1 - f for f in gone}
+                out.append([f for f in gone if -1 - f not in new] + [f for f in new if f not in rest and f not in kept])
+    if not out:
+        out.append(features(TERMS[stable % len(TERMS)]))
+    return out
 
 
 @dataclass
@@ -99,14 +107,18 @@ class Model:
         return float(1 / (1 + np.exp(-np.clip(z, -30, 30))))
 
 
-def fit(rows: list[np.ndarray], y: np.ndarray, pairs=(), steps: int = 250, ridge: float = 1e-4, fairness: float = 10.0, chance: float = 0.8, shown: float = 0.8) -> Model:
+def fit(rows: list[np.ndarray], y: np.ndarray, changes: list[list[list[int]]] | None = None, steps: int = 250, ridge: float = 1e-4, fairness: float = 0.3, chance: float = 0.8, shown: float = 0.8) -> Model:
     """Logistic model on the features that tell most, by full-batch Adam.
 
     A feature is kept if its share of toxic rows exceeds what one of so many
     features would reach by chance (binomial large-deviation bound), so accidents
-    of long documents don't add up. Weights are not negative: benign words never
-    hide toxic ones. Each step shows a row's features with chance ``shown``, so
-    that one of them can be enough. ``fairness`` weighs the squared change of a swapped score."""
+    of long documents don't add up; whole identity terms are kept always. Weights
+    are not negative: benign words never hide toxic ones. Each step shows a row's
+    features with chance ``shown``, so that one of them can be enough.
+
+    ``changes`` holds the counterparts of each row (``counterparts``). ``fairness``
+    weighs the squared change of log-odds, the mean over the counterparts of a row
+    and then over rows; 0 fits without the penalty."""
     n, pos = len(y), float(y.sum())
     if not n or pos in (0, n):
         mean = (pos + 0.5) / (n + 1)
@@ -119,14 +131,23 @@ def fit(rows: list[np.ndarray], y: np.ndarray, pairs=(), steps: int = 250, ridge
     q = np.clip(toxic / np.maximum(total, 1), 1e-9, 1 - 1e-9)
     surprise = total * (q * np.log(q / base) + (1 - q) * np.log((1 - q) / (1 - base)))
     surprise[(q < max(base, 0.3)) | (surprise < np.log(max(1, (total > 0).sum())) * chance)] = 0
-    kept = np.sort(np.argsort(-surprise, kind="stable")[:KEPT])
-    kept = kept[surprise[kept] > 0]
+    kept = np.argsort(-surprise, kind="stable")[:KEPT]
+    kept = np.union1d(kept[surprise[kept] > 0], [features(t)[0] for t in TERMS])
     place = np.full(SPACE, -1)
     place[kept] = np.arange(len(kept))
     use = place[flat] >= 0
     col, row = place[flat[use]], owner[use]
-    swapped = [[(place[f], s) for s, fs in ((1.0, a), (-1.0, b)) for f in fs if place[f] >= 0] for a, b in pairs]
-    swapped = [x for x in swapped if x]
+    # counterparts as a sparse matrix: pair, column, sign; a row's pairs share one weight
+    pair, where, sign, weight = [], [], [], []
+    for own in changes or ():
+        for change in own:
+            for f in change:
+                if (j := place[f if f >= 0 else -1 - f]) >= 0:
+                    pair.append(len(weight))
+                    where.append(j)
+                    sign.append(1.0 if f >= 0 else -1.0)
+            weight.append(1 / (n * len(own)))
+    pair, where, sign, weight = np.array(pair, int), np.array(where, int), np.array(sign), np.array(weight)
     w, b = np.zeros(len(kept)), 0.0
     balance = np.where(y > 0, 0.5 / pos, 0.5 / (n - pos))
     balance = 0.5 * balance + 0.5 / n
@@ -139,37 +160,38 @@ def fit(rows: list[np.ndarray], y: np.ndarray, pairs=(), steps: int = 250, ridge
         p = 1 / (1 + np.exp(-(b + np.bincount(r, w[c], n))))
         e = (p - y) * balance
         g = np.append(np.bincount(c, e[r], len(kept)) + ridge * w, e.sum())
-        for change in swapped:
-            d = sum(w[j] * s for j, s in change)
-            for j, s in change:
-                g[j] += 2 * fairness * d * s / len(swapped)
+        if fairness and len(pair):
+            change = np.bincount(pair, w[where] * sign, len(weight))
+            g[:-1] += np.bincount(where, 2 * fairness * (weight * change)[pair] * sign, len(kept))
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
         step = 0.1 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-9)
         w, b = np.maximum(w - step[:-1], 0), b - step[-1]
     return Model(float(b), {int(f): float(x) for f, x in zip(kept, w) if x > 1e-3})
 
 
-def fit_labels(docs: DataFrame, labels: DataFrame, keep: Column | None = None, limit: int = SAMPLE) -> Model:
+def fit_labels(docs: DataFrame, labels: DataFrame, keep: Column | None = None, limit: int = SAMPLE, fairness: float = 0.3) -> Model:
     """Fit on at most ``limit`` labelled documents, of which only hashed features
-    come to the driver."""
+    and those of their counterparts come to the driver. Nulls count as empty
+    texts, rows without label or id don't count, repeated rows count as often as
+    they occur."""
     text_batches(docs.sparkSession)
     chosen = F.broadcast(sample_labels(labels, "toxic", keep, limit))
     named = docs.select("doc_id", "text").join(chosen, "doc_id")
-    terms = {t.encode() for group in IDENTITY for t in group}
 
     def run(batches):
         cache: dict[bytes, list[int]] = {}
         for batch in batches:
             texts = strings(batch.column(0))
             got = [document(t, cache).astype(np.int32) for t in texts]
-            named_terms = [" ".join(sorted(w.decode() for w in words(t) & terms)) for t in texts]
-            yield pa.RecordBatch.from_arrays([pa.array(got, pa.list_(pa.int32())), batch.column(1), pa.array(named_terms, pa.string())], ["x", "y", "terms"])
+            other = [counterparts(words(t), xxhash.xxh3_64_intdigest(t.encode("utf-8", "surrogatepass"))) for t in texts]
+            yield pa.RecordBatch.from_arrays([pa.array(got, pa.list_(pa.int32())), batch.column(1), pa.array(other, pa.list_(pa.list_(pa.int32())))], ["x", "y", "changes"])
 
-    got = named.select("text", "y").mapInArrow(run, "x array<int>, y int, terms string").toArrow()
+    got = named.select("text", "y").mapInArrow(run, "x array<int>, y int, changes array<array<int>>").toArrow()
     y = np.array(got["y"].to_pylist(), float)
     rows = [np.array(r, np.int64) for chunk in got["x"].chunks for r in (x.values.to_numpy() for x in chunk)]
-    order = sorted(range(len(y)), key=lambda i: (y[i], len(rows[i]), rows[i].tobytes()))
-    return fit([rows[i] for i in order], y[order], swaps(sorted(t for t in got["terms"].to_pylist() if t)))
+    changes = got["changes"].to_pylist()
+    order = sorted(range(len(y)), key=lambda i: (y[i], len(rows[i]), rows[i].tobytes(), changes[i]))
+    return fit([rows[i] for i in order], y[order], [changes[i] for i in order], fairness=fairness)
 
 
 def with_score(docs: DataFrame, model: Model, name: str = "score") -> DataFrame:
@@ -187,6 +209,8 @@ def with_score(docs: DataFrame, model: Model, name: str = "score") -> DataFrame:
 
 
 def op3_toxicity(spark, sf_dir):
+    """Every row of documents scored for toxicity by a model that learns from the
+    labelled rows that are not held out."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     out = held_out("doc_id", 5, 0)
