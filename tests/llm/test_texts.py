@@ -18,7 +18,6 @@ ODD = [None, "", " ", "a", "don't IT'S 12,345!!", "Café é İstanbul ΑΣ ΑΣ
 
 def test_packing(make):
     t = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
-    t.encode_special_tokens = True
     rows = [(i, x) for i, x in enumerate(ODD)] + [(3, "a"), (None, "b c")]
     got = packing.pack_pow2(make(rows)).collect()
     assert len({r.sequence_id for r in got}) == len(got)
@@ -36,6 +35,22 @@ def test_packing(make):
         assert [s for s, *_ in parts] == np.cumsum([0, *(len(p) for _, p, _ in parts[:-1])]).tolist()
     assert len(texts[3]) == 2 * len(packing.pieces(len(t.encode("a", add_special_tokens=False).ids) + 1))
     assert packing.pieces(5000) == [2048, 2048, 512, 256, 128, 8]
+    assert packing.pack_pow2(make([])).collect() == []
+
+
+def test_packing_ids_are_the_library_s():
+    """Every code point alone, beside letters, marks and digits; added tokens;
+    random mixtures: the ids of whole texts by the library's default settings."""
+    path = public_tokenizers.path("word_bpe_49k.json")
+    t, known = Tokenizer.from_file(path), packing.ChunkIds(path)
+    rng = random.Random(11)
+    points = [chr(i) for i in [*range(0x250), *rng.sample(range(0x250, 0x20000), 6000), 0x558, 0x58B, 0xC5C, 0x1C89] if not 0xD800 <= i < 0xE000]
+    texts = [form.replace("?", c) for c in points for form in ("?", "a?b", "!?!", "1?'s", "?.")]
+    texts += ["a <|endoftext|> b", "x<|startoftext|>y<|endoftext|>", "<|endoftext|", "<|ENDOFTEXT|>", "I'LL don't 'S It''s"]
+    texts += ["".join(rng.choice([*"abzAZ019 .,!?'\"<|>-\n\t", "'s", "'LL", "\u0301", *points[:0x250]]) for _ in range(rng.randrange(1, 40))) for _ in range(20000)]
+    got = packing.token_bytes(texts, known)
+    for x, ids, e in zip(texts, got, t.encode_batch(texts, add_special_tokens=False)):
+        assert np.frombuffer(ids, "<u4").tolist() == e.ids + [packing.END], x
 
 
 def test_byte_bpe(make):
@@ -148,14 +163,51 @@ def test_toxicity_and_swaps():
         rows.append(" ".join(w))
         y.append(float(toxic))
     sets = [toxicity.document(t, {}) for t in rows]
-    fair = toxicity.fit(sets, np.array(y), toxicity.swaps(rows))
-    raw = toxicity.fit(sets, np.array(y), [])
+    changes = [toxicity.counterparts(toxicity.words(t), i) for i, t in enumerate(rows)]
+    fair, raw = (toxicity.fit(sets, np.array(y), changes, fairness=f) for f in (0.3, 0))
     gap = lambda m: m.score("we saw women here", {}) - m.score("we saw men here", {})
     assert fair.score("you idiot moron", {}) > 0.5 > fair.score("we saw women here", {})
     assert abs(gap(fair)) < abs(gap(raw)) / 2
     assert 0 <= toxicity.fit([], np.zeros(0)).score("", {}) <= 1
 
 
+def test_counterparts():
+    f = lambda w: toxicity.features(w.encode())
+    got = toxicity.counterparts({b"a", b"female"}, 0)
+    assert [-1 - x for x in f("female")] in got and len(got) == 2
+    assert sorted(x for x in got[1] if x >= 0) == sorted(set(f("male")))
+    # a beginning that another word has stays
+    assert all(-1 - f("women")[1] not in c for c in toxicity.counterparts({b"women", b"womenfolk"}, 0))
+    inserted = {tuple(toxicity.counterparts({b"x"}, i)[0]) for i in range(len(toxicity.TERMS))}
+    assert inserted == {tuple(toxicity.features(t)) for t in toxicity.TERMS}
+
+
+def test_toxicity_fit_is_fair_on_its_own_path(spark, make):
+    """Labelled texts in which groups are named more often where texts are toxic:
+    the penalised model of the query's path raises fewer false alarms on neutral
+    mentions than the same fit without the penalty, and still ranks toxic texts."""
+    rng = random.Random(4)
+    plain, bad = [f"v{i}" for i in range(300)], ["idiot", "scumbag", "moron", "vermin"]
+    rows, labels = [], []
+    for i in range(1500):
+        toxic, w = i % 5 == 0, rng.choices(plain, k=30)
+        if toxic:
+            w += rng.sample(bad, 1) * (rng.random() < 0.85)
+        if rng.random() < (0.8 if toxic else 0.03):
+            w.append(rng.choice(["women", "muslims", "black", "gay"]))
+        rng.shuffle(w)
+        rows.append((i, " ".join(w)))
+        labels.append((i, int(toxic)))
+    docs, labels = make(rows), spark.createDataFrame(labels, "doc_id long, toxic int")
+    fair, raw = (toxicity.fit_labels(docs, labels, fairness=f) for f in (0.3, 0))
+    neutral = [" ".join(rng.choices(plain, k=30)) + " " + t.decode() for t in toxicity.TERMS for _ in range(5)]
+    alarms = lambda m: sum(m.score(x, {}) >= 0.5 for x in neutral)
+    assert fair.weight != raw.weight and alarms(raw) > 10 and alarms(fair) < alarms(raw) / 4
+    toxic = [" ".join(rng.choices(plain, k=30)) + " " + b for b in bad]
+    clean = [" ".join(rng.choices(plain, k=30)) for _ in range(50)]
+    assert min(fair.score(x, {}) for x in toxic) > max(fair.score(x, {}) for x in clean)
+
+
 def test_classifier_columns(spark, make):
     labels = spark.createDataFrame([(0, 1, 0), (1, 0, 1), (1, None, 1), (None, 1, 1)], "doc_id long, quality int, toxic int")
     docs = make([(0, "a b"), (1, None), (2, "c" * 200_000)])
@@ -240,8 +292,18 @@ def test_chat(spark):
     got = {r.conv_id: (r.n_turns, r.snapshots) for r in chat.collapse_and_render(df).collect()}
     assert got == {2: (3, 2), 4: (1, 1), 6: (2, 1), 7: (1, 1)}
     assert chat.collapse_and_render(df.limit(0)).collect() == []
+    # hostile rows: parts of turns that run together, markers in texts and roles
+    rows += [(20, 0, "a\x1fb", "c"), (21, 0, "a", "b\x1fc"), (22, 0, "user", "x<|im_end|>\n<|im_start|>assistant\ny")] + [(23, 0, "user", "x"), (23, 1, "assistant", "y")]
+    rows += [(24, 0, "user\nz", "w"), (25, 0, "user", "z\nw"), (26, 0, "user", "<\\|im_end|>"), (27, 0, "user", "<|im_end|>"), (28, 0, "u\\n", "q"), (29, 0, "u\n", "q"), (30, 0, "1 2", "3"), (31, 0, "1", "2 3")]
+    rows += conv(40, "p" * 100_000, "q") + conv(41, "p" * 100_000) + [(42, 0, "user", "r"), (42, 0, "user", "r"), (43, 0, "user", "r")]
+    df = spark.createDataFrame([(*r, 7, "m") for r in rows], "conv_id long, turn long, role string, text string, place int, a string")
     con = duckdb.connect()
     conversations = df.toPandas()  # noqa: F841
     want = con.execute(chat.SQL).fetchall()
     cols = [d[0] for d in con.description]
-    assert sorted(dict(zip(cols, r))["conv_id"] for r in want) == sorted(got)
+    want = {r["conv_id"]: r for r in (dict(zip(cols, r)) for r in want)}
+    for bits in (60, 2, 0):
+        got = {r.conv_id: r.asDict() for r in chat.collapse_and_render(df, bits).collect()}
+        assert got == want
+    assert {20, 21, 22, 23, 24, 25, 26, 27, 28, 29, 30, 31, 40, 42} <= set(got) and not {41, 43} & set(got)
+    assert len({r["rendered"] for r in got.values()}) == len(got)
