@@ -1,7 +1,9 @@
 """TIFF columns: pages of baseline and common extended TIFF files as rows.
 
 Reads both byte orders, strips and tiles, no compression, PackBits, LZW and
-deflate, horizontal predictors, chunky and planar samples of 8 and 16 bits.
+deflate, horizontal predictors, chunky and planar samples of 1, 2, 4, 8 and 16
+bits. Samples come as stored: palettes aren't applied and white-is-zero isn't
+turned; ``photometric`` tells them. BigTIFF, floats and other schemes are faults.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ from pyspark.sql import functions as F
 from tessera.llm.common import strings, text_batches
 
 # Fixed values of the format: tags, sizes of field types, compression schemes.
-WIDTH, LENGTH, BITS, COMPRESSION, PHOTOMETRIC, STRIP_OFFSETS, SAMPLES, ROWS_PER_STRIP, STRIP_BYTES, PLANAR, PREDICTOR, TILE_WIDTH, TILE_LENGTH, TILE_OFFSETS, TILE_BYTES = 256, 257, 258, 259, 262, 273, 277, 278, 279, 284, 317, 322, 323, 324, 325
+WIDTH, LENGTH, BITS, COMPRESSION, PHOTOMETRIC, STRIP_OFFSETS, SAMPLES, ROWS_PER_STRIP, STRIP_BYTES, PLANAR, PREDICTOR, TILE_WIDTH, TILE_LENGTH, TILE_OFFSETS, TILE_BYTES, SAMPLE_FORMAT = 256, 257, 258, 259, 262, 273, 277, 278, 279, 284, 317, 322, 323, 324, 325, 339
 TYPES = {1: "B", 3: "H", 4: "I"}
 NONE, LZW, DEFLATE, PACKBITS, OLD_DEFLATE = 1, 5, 8, 32773, 32946
 
@@ -37,7 +39,8 @@ class Page:
     samples: int
     bits: int
     compression: int
-    pixels: bytes  # row by row, samples of a pixel together, 16 bits little-endian
+    photometric: int
+    pixels: bytes  # row by row, samples of a pixel together, a byte each or 16 bits little-endian
 
 
 def unpack_bits(data: bytes, size: int) -> bytes:
@@ -72,6 +75,8 @@ def unpack_lzw(data: bytes, size: int) -> bytes:
         if not table:
             raise TiffError("LZW data don't begin with a clear code")
         if last is None:
+            if code > 255:
+                raise TiffError("LZW code out of range")
             word = table[code]
         else:
             if code > len(table):
@@ -92,17 +97,19 @@ def inflate(data: bytes, size: int) -> bytes:
         raise TiffError(str(e)) from None
 
 
+#: Bytes that one stored byte can give at most, by scheme.
+MOST = {NONE: 1, PACKBITS: 64, LZW: 4096, DEFLATE: 1040, OLD_DEFLATE: 1040}
 UNPACK = {NONE: lambda d, n: d[:n], PACKBITS: unpack_bits, LZW: unpack_lzw, DEFLATE: inflate, OLD_DEFLATE: inflate}
 
 
 def directories(data: bytes) -> Iterator[tuple[str, dict[int, tuple[int, ...]]]]:
     """Byte order and fields of each image directory, in the file's order."""
-    order = {b"II": "<", b"MM": ">"}.get(data[:2])
+    order = {b"II": "<", b"MM": ">"}.get(bytes(data[:2]))
     if order is None or len(data) < 8 or struct.unpack_from(order + "H", data, 2)[0] != 42:
         raise TiffError("no TIFF header")
     at, seen = struct.unpack_from(order + "I", data, 4)[0], set()
     while at:
-        if at in seen or at + 2 > len(data):
+        if at in seen or at < 8 or at + 2 > len(data):
             raise TiffError("directories form a loop or lie outside the file")
         seen.add(at)
         n = struct.unpack_from(order + "H", data, at)[0]
@@ -112,6 +119,8 @@ def directories(data: bytes) -> Iterator[tuple[str, dict[int, tuple[int, ...]]]]
         for i in range(n):
             tag, kind, count = struct.unpack_from(order + "HHI", data, at + 2 + 12 * i)
             if kind in TYPES:
+                if count > len(data):
+                    raise TiffError(f"field {tag} outside the file")
                 form = f"{order}{count}{TYPES[kind]}"
                 place = at + 10 + 12 * i
                 if struct.calcsize(form) > 4:
@@ -124,35 +133,48 @@ def directories(data: bytes) -> Iterator[tuple[str, dict[int, tuple[int, ...]]]]
 
 
 def read_pages(data: bytes) -> Iterator[Page]:
+    """Pages in the file's order; TiffError at the first fault. No more memory is
+    taken than the stored bytes can fill."""
     for number, (order, tags) in enumerate(directories(data)):
         one = lambda tag, default=None, t=tags: t[tag][0] if t.get(tag) else default
         width, height, samples, bits = one(WIDTH), one(LENGTH), one(SAMPLES, 1), one(BITS, 1)
-        scheme, planar, predictor = one(COMPRESSION, 1), one(PLANAR, 1), one(PREDICTOR, 1)
-        if not width or not height or bits not in (8, 16) or set(tags[BITS]) != {bits} or scheme not in UNPACK or predictor not in (1, 2):
+        scheme, planar, predictor, photometric = one(COMPRESSION, 1), one(PLANAR, 1), one(PREDICTOR, 1), one(PHOTOMETRIC, 1)
+        if not width or not height or not samples or bits not in (1, 2, 4, 8, 16) or set(tags.get(BITS, (1,))) != {bits} or scheme not in UNPACK or predictor not in (1, 2) or planar not in (1, 2):
             raise TiffError("size, depth, compression or predictor not read")
+        if predictor == 2 and bits < 8 or any(x != 1 for x in tags.get(SAMPLE_FORMAT, ())):
+            raise TiffError("sample format not read")
         tiled = TILE_OFFSETS in tags
         w, h = (one(TILE_WIDTH), one(TILE_LENGTH)) if tiled else (width, min(one(ROWS_PER_STRIP, height), height))
-        at, sizes = (tags[TILE_OFFSETS], tags[TILE_BYTES]) if tiled else (tags.get(STRIP_OFFSETS, ()), tags.get(STRIP_BYTES, ()))
+        if not w or not h:
+            raise TiffError("strips or tiles without size")
+        at, sizes = (tags[TILE_OFFSETS], tags.get(TILE_BYTES, ())) if tiled else (tags.get(STRIP_OFFSETS, ()), tags.get(STRIP_BYTES, ()))
         inside, planes = (1, samples) if planar == 2 else (samples, 1)
         across, down = -(-width // w), -(-height // h)
         if len(at) != across * down * planes or len(sizes) != len(at):
             raise TiffError("strips or tiles are missing")
-        kind = np.dtype(np.uint8 if bits == 8 else order + "u2")
+        kind = np.dtype(np.uint8 if bits <= 8 else order + "u2")
+        line = -(-w * inside * bits // 8)  # bytes of a stored row
+        needs = [(h if tiled else min(h, height - i % (across * down) // across * h)) * line for i in range(len(at))]
+        if any(start + size > len(data) or need > size * MOST[scheme] for start, size, need in zip(at, sizes, needs)) or height * width * samples * bits > 8 * sum(needs):
+            raise TiffError("strip or tile too short")
         image = np.zeros((height, width, samples), "<u2" if bits == 16 else np.uint8)
-        for i, (start, size) in enumerate(zip(at, sizes)):
+        for i, (start, size, need) in enumerate(zip(at, sizes, needs)):
             plane, cell = divmod(i, across * down)
             y, x = cell // across * h, cell % across * w
-            rows = h if tiled else min(h, height - y)
-            need = rows * w * inside * kind.itemsize
             raw = UNPACK[scheme](data[start : start + size], need)
             if len(raw) != need:
                 raise TiffError("strip or tile too short")
-            part = np.frombuffer(raw, kind).reshape(rows, w, inside).astype(image.dtype)
+            if bits < 8:
+                values = np.unpackbits(np.frombuffer(raw, np.uint8).reshape(need // line, line), axis=1)
+                values = values[:, : w * inside * bits].reshape(need // line, w, inside, bits)
+                part = (values << np.arange(bits - 1, -1, -1, dtype=np.uint8)).sum(-1, dtype=np.uint8)
+            else:
+                part = np.frombuffer(raw, kind).reshape(need // line, w, inside).astype(image.dtype)
             if predictor == 2:
                 part = np.cumsum(part, axis=1, dtype=part.dtype)
             part = part[: height - y, : width - x]
             image[y : y + part.shape[0], x : x + part.shape[1], plane : plane + inside] = part
-        yield Page(number, width, height, samples, bits, scheme, image.tobytes())
+        yield Page(number, width, height, samples, bits, scheme, photometric, image.tobytes())
 
 
 def write_pages(images: list[np.ndarray], compression: int = DEFLATE, predictor: int = 2, rows: int = 1024) -> bytes:
@@ -185,12 +207,12 @@ def write_pages(images: list[np.ndarray], compression: int = DEFLATE, predictor:
 
 # -- columns --------------------------------------------------------------------
 
-PAGE_SCHEMA = "doc_id long, page int, width int, height int, samples int, bits int, compression int, pixels binary, error string"
+PAGE_SCHEMA = "doc_id long, page int, width int, height int, samples int, bits int, compression int, photometric int, pixels binary, error string"
 
 
 def _pages(batches):
     names = [x.split()[0] for x in PAGE_SCHEMA.split(", ")]
-    types = [pa.int64(), *[pa.int32()] * 6, pa.binary(), pa.string()]
+    types = [pa.int64(), *[pa.int32()] * 7, pa.binary(), pa.string()]
     for batch in batches:
         for doc, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             rows = []
@@ -198,9 +220,9 @@ def _pages(batches):
                 if data is None:
                     raise TiffError("null")
                 for p in read_pages(data):
-                    rows.append((doc, p.number, p.width, p.height, p.samples, p.bits, p.compression, p.pixels, None))
+                    rows.append((doc, p.number, p.width, p.height, p.samples, p.bits, p.compression, p.photometric, p.pixels, None))
             except TiffError as e:
-                rows.append((doc, *[None] * 7, str(e)))
+                rows.append((doc, *[None] * 8, str(e)))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names)
 
 
