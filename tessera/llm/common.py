@@ -10,6 +10,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -209,13 +210,24 @@ def maybe_in(hashes: DataFrame):
     return test
 
 
-def without(rows: DataFrame, gone: DataFrame, *names: str) -> DataFrame:
-    """``rows`` whose ``names`` aren't among ``gone`` (the same columns; null
-    equals null). Only rows that the filter can't clear are shuffled."""
-    gone = materialize(gone.select(*names).distinct(), "gone")
-    maybe = maybe_in(gone.select(F.xxhash64(*names)))(F.xxhash64(*names))
-    again = gone.select(*(F.col(n).alias(f"__{i}") for i, n in enumerate(names)))
-    same = F.lit(True)
-    for i, n in enumerate(names):
-        same = same & F.col(n).eqNullSafe(F.col(f"__{i}"))
-    return rows.filter(~maybe).unionByName(rows.filter(maybe).join(again, same, "left_anti"))
+# -- addresses of rows ------------------------------------------------------------
+
+ADDRESS = ["__file", "__at"]
+
+
+def addressed(docs: DataFrame) -> DataFrame:
+    """``docs`` with the address of each row, ``__file`` and ``__at``. What isn't
+    read from files that tell row numbers is written to the shared folder first."""
+    where = [F.col("_metadata.file_path").alias("__file"), F.col("_metadata.row_index").alias("__at")]
+    try:
+        return docs.select("*", *where)
+    except AnalysisException:
+        return materialize(docs, "content").select("*", *where)
+
+
+def without_rows(placed: DataFrame, gone: DataFrame) -> DataFrame:
+    """Rows of ``addressed`` that aren't at the addresses ``gone``, without their
+    address. Only rows that the filter can't clear are shuffled."""
+    maybe = maybe_in(gone.select(F.xxhash64(*ADDRESS)))(F.xxhash64(*ADDRESS))
+    left = placed.filter(maybe).join(gone, ADDRESS, "left_anti")
+    return placed.filter(~maybe).unionByName(left).drop(*ADDRESS)

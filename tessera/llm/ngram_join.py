@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import components, forget, materialize, maybe_in, strings, text_batches
+from tessera.llm.common import ADDRESS, addressed, components, forget, materialize, maybe_in, strings, text_batches, without_rows
 
 _M = np.uint64(0x9E3779B97F4A7C15)
 _A = np.uint64(0xBF58476D1CE4E5B9)
@@ -272,7 +272,7 @@ def _describe(k: int, percent: int, sketch):
     def run(batches):
         cache, (levels, places) = WordHashes(), sketch.value
         for batch in batches:
-            ids, sig, texts = batch.column(0), batch.column(1), strings(batch.column(2))
+            texts, passed = strings(batch.column(0)), batch.columns[1:]
             for i in range(0, len(texts), 2000):
                 n, digest, keys = [], [], []
                 for t in texts[i : i + 2000]:
@@ -283,7 +283,8 @@ def _describe(k: int, percent: int, sketch):
                     p = order[: len(s) - least_overlap(len(s), percent) + 1] if len(s) else order
                     keys.append(s[p[level[p] > 0]].view(np.int64))
                 ends = np.cumsum([0, *map(len, keys)]).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([ids.slice(i, len(n)), sig.slice(i, len(n)), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(keys)))], ["doc_id", "sig", "n_shingles", "digest", "keys"])
+                made = [pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(keys)))]
+                yield pa.RecordBatch.from_arrays([*(c.slice(i, len(n)) for c in passed), *made], [*batch.schema.names[1:], "n_shingles", "digest", "keys"])
 
     return run
 
@@ -398,21 +399,24 @@ def _search(members: DataFrame, nodes: DataFrame, docs: DataFrame, k: int, perce
     return links
 
 
-def ngram_components(docs: DataFrame, k: int = 5, percent: int = 80, block_size: int = 256, most_places: int = MOST_PLACES) -> DataFrame:
-    """doc_id, n_shingles, component_id, digest for each row of ``docs`` (doc_id,
-    text).
+def ngram_components(docs: DataFrame, k: int = 5, percent: int = 80, block_size: int = 256, most_places: int = MOST_PLACES, carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept and the columns named in ``carry`` for
+    each row of ``docs`` (doc_id, text).
 
     component_id is the least doc_id reachable over links, the row's own
     included. Null or wordless texts: no shingles, linked with nothing. Null ids
     come last among ids, and stay null if a component has no other. Repeated
     rows are rows of their own in one component. Other columns are ignored.
-    Shingles are compared by 64-bit hashes; ``digest`` is that of the set.
+    ``kept`` marks one row of each component, one with its least id. Shingles are
+    compared by 64-bit hashes.
     """
     spark = docs.sparkSession
     text_batches(spark)
-    docs = docs.select("doc_id", F.xxhash64("text").alias("sig"), "text")
+    passed = docs.select("text", F.col("doc_id").cast("long"), F.xxhash64("text").alias("sig"), *carry)
+    shape = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in passed.schema[1:])
+    docs = passed.select("doc_id", "sig", "text")
     sketch = spark.sparkContext.broadcast(frequency_levels(docs.select("text"), k, most_places))
-    rows = docs.mapInArrow(_describe(k, percent, sketch), "doc_id long, sig long, n_shingles long, digest binary, keys array<long>")
+    rows = passed.mapInArrow(_describe(k, percent, sketch), f"{shape}, n_shingles long, digest binary, keys array<long>")
     rows = materialize(rows.withColumn("row", F.monotonically_increasing_id()), "sets")
     sketch.destroy()  # or Python workers would keep it
     key = (F.coalesce("doc_id", F.lit(0)).alias("id"), F.col("doc_id").isNull().alias("none"), "sig")
@@ -473,19 +477,30 @@ def ngram_components(docs: DataFrame, k: int = 5, percent: int = 80, block_size:
     # both sides of these joins are tables, so Spark splits a large component or
     # class of copies
     known = classes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    known = materialize(known.select("digest", "root", "doc_id", "size"), "known")
-    least = known.groupBy("root").agg(F.min("doc_id").alias("component_id"), F.count("*").alias("kinds"), F.sum("size").alias("all"))
-    least = materialize(least.filter("kinds > 1 or all > 1").select("root", "component_id"), "least")
-    groups = materialize(known.join(least, "root").select("digest", "component_id"), "groups")
+    known = materialize(known.select("digest", "root", "doc_id", "node", "size"), "known")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "node")).alias("f")
+    least = known.groupBy("root").agg(first, F.count("*").alias("kinds"), F.sum("size").alias("all"))
+    least = materialize(least.filter("kinds > 1 or all > 1").select("root", F.col("f.doc_id").alias("component_id"), F.col("f.node").alias("head")), "least")
+    groups = materialize(known.join(least, "root").select("digest", "component_id", "head"), "groups")
     forget(classes, roots, known, least)
-    out = rows.select("doc_id", "n_shingles", "digest")
-    linked_ids = out.filter("n_shingles > 0").join(groups, "digest", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), "digest")
-    return linked_ids.union(out.filter("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), "digest"))
+    out = rows.select("doc_id", "n_shingles", "digest", "row", *carry)
+    with_sets = out.filter("n_shingles > 0").join(groups, "digest", "left")
+    told = with_sets.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce(F.col("row") == F.col("head"), F.lit(True)).alias("kept"), *carry)
+    return told.union(out.filter("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), F.lit(True).alias("kept"), *carry))
+
+
+def keep_least(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of ``docs`` that ``ngram_components`` keeps, one of each component,
+    with all their columns; rows are told apart by their address."""
+    placed = addressed(docs)
+    told = ngram_components(placed, k, percent, carry=tuple(ADDRESS))
+    return without_rows(placed, materialize(told.filter("not kept").select(*ADDRESS), "near-gone")).select(docs.columns)
 
 
 # -- registered query ---------------------------------------------------------
 
 
 def op5_ngram_join(spark, sf_dir):
+    """Every row of documents with its component of links over 4-word shingles."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return ngram_components(docs, k=4, percent=85).drop("digest")
+    return ngram_components(docs, k=4, percent=85).drop("kept")
