@@ -10,9 +10,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import quality, toxicity
-from tessera.llm.common import materialize, table, without
-from tessera.llm.exact_dedup import deduplicate, normalized
-from tessera.llm.ngram_join import ngram_components
+from tessera.llm.common import forget, materialize, table
+from tessera.llm.exact_dedup import keep_first
+from tessera.llm.ngram_join import keep_least
 from tessera.llm.packing import pack_pow2
 
 #: a document below the first score, or at the second or above, goes
@@ -32,24 +32,15 @@ def keep_civil(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts, the row with the least doc_id stays; of repeated rows with
-    that id, one. Rows without an id stay only if no equal text has one."""
-    found = materialize(deduplicate(docs).filter(~F.col("kept")).select("doc_id", "keep_id", "text_sha256"), "copies")
-    sha = F.sha2(normalized(F.col("text")).cast("binary"), 256)
-    own = F.col("doc_id").eqNullSafe(F.col("keep_id"))
-    left = without(docs.withColumn("text_sha256", sha), found.filter(~own), "doc_id", "text_sha256")
-    again = found.filter(own).select("doc_id", "text_sha256").distinct()
-    if again.isEmpty():
-        return left.select(docs.columns)
-    repeats = left.join(F.broadcast(again) if again.count() < 10_000 else again, ["doc_id", "text_sha256"], "left_semi").dropDuplicates(["doc_id", "text_sha256"])
-    return without(left, again, "doc_id", "text_sha256").unionByName(repeats).select(docs.columns)
+    """Of equal texts, the row with the least doc_id stays; of repeated rows, one.
+    Rows without an id come last."""
+    return keep_first(docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents linked by 0.8 or more of their five-word shingles, the one
-    with the least doc_id stays. Rows without an id stay."""
-    gone = ngram_components(docs, k=5, percent=80).filter("component_id <> doc_id").select("doc_id")
-    return without(docs, gone, "doc_id").select(docs.columns)
+    with the least doc_id stays; rows without an id come last."""
+    return keep_least(docs, k=5, percent=80)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -64,9 +55,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """All stages on the whole of ``documents``; what a stage has read is deleted
+    when its own rows are written."""
+    docs, before = table(spark, sf_dir, "documents"), None
     for i, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if i < len(STAGES) - 1:
             docs = materialize(docs, name)
+            if before:
+                forget(before)
+            before = docs
     return docs
