@@ -177,3 +177,65 @@ def q16(v: Column) -> Column:
 def project_local(origin_q16: Column, local: Column, scale_q16: Column) -> Column:
     """Pixel of a tile-local coordinate: floor of the fixed-point sum, as 32 bits."""
     return geo.clamp(F.shiftright(origin_q16 + local.cast("long") * scale_q16, 16), F.lit(-(2**31)), F.lit(2**31 - 1)).cast("int")
+
+
+def nearest_placement(x: Column, n: Column) -> Column:
+    """Unwrapped x of the copy of a tile that is nearest to the centre."""
+    return F.round(centre_x() + wrapped_delta(x, centre_x(), n)).cast("long")
+
+
+def screen_map(unwrapped_x: Column, y: Column, extent: Column) -> dict[str, Column]:
+    """Where a tile copy lies: pixel of its corner and pixels for each local unit,
+    as doubles and in 1/65536. No extent counts as 1, no tile size as one pixel."""
+    ts = F.when(c("ts") <= 0, 1).otherwise(c("ts"))
+    sx = (unwrapped_x - centre_x()) * ts + c("width") * 0.5
+    sy = (y - centre_y()) * ts + c("height") * 0.5
+    scale = ts / F.when(extent == 0, 1.0).otherwise(extent.cast("double"))
+    return {"sx": sx, "sy": sy, "scale": scale, "sx_q16": q16(sx), "sy_q16": q16(sy), "scale_q16": q16(scale)}
+
+
+# -- moving the camera ------------------------------------------------------------
+
+
+def moved_to(lat: Column, lon: Column) -> dict[str, Column]:
+    """A new centre: latitude clamped, longitude wrapped; not finite: the old one."""
+    ok = lat.isNotNull() & lon.isNotNull() & ~F.isnan(lat) & ~F.isnan(lon) & (F.abs(lat) != float("inf")) & (F.abs(lon) != float("inf"))
+    return {"lat": F.when(ok, geo.clamp_lat(lat)).otherwise(c("lat")), "lon": F.when(ok, geo.wrap_lon(lon)).otherwise(c("lon"))}
+
+
+def zoomed_to(zoom: Column) -> Column:
+    return geo.clamp(zoom, F.lit(0), F.lit(geo.MAX_ZOOM))
+
+
+def resized(width: Column, height: Column) -> dict[str, Column]:
+    """A new screen; sides that aren't positive leave the old one."""
+    ok = (width > 0) & (height > 0)
+    return {"width": F.when(ok, width).otherwise(c("width")), "height": F.when(ok, height).otherwise(c("height"))}
+
+
+# -- picking a place -------------------------------------------------------------
+
+
+def usable_bounds() -> Column:
+    """Bounds that a picker takes: valid, and with ground on both axes, so none
+    over the antimeridian."""
+    return F.coalesce(valid_bounds() & (c("min_lon") < c("max_lon")) & (c("min_lat") < c("max_lat")), F.lit(False))
+
+
+def picker_zooms(low: Column, high: Column) -> tuple[Column, Column]:
+    """Least and most zoom of a picker over data of zooms ``low`` to ``high``;
+    nulls for bad zooms or screens. Where no zoom fills the screen, the data's
+    own least one."""
+    fill = F.when(c("max_lon") - c("min_lon") >= 360.0, world_view_zoom()).otherwise(min_fill_zoom())
+    ok = low.between(0, geo.MAX_ZOOM) & high.between(0, geo.MAX_ZOOM) & (low <= high) & valid()
+    return F.when(ok, F.coalesce(geo.clamp(fill, low, high), low)), F.when(ok, high)
+
+
+def picker_begin(low: Column, high: Column) -> dict[str, Column]:
+    """A picker's first view: its zooms, and the middle of the bounds (in degrees,
+    not projected) at the least of them; all null where it can't open."""
+    ok = usable_bounds()
+    least, most = picker_zooms(low, high)
+    lat, lon = geo.clamp_lat((c("min_lat") + c("max_lat")) / 2.0), geo.wrap_lon((c("min_lon") + c("max_lon")) / 2.0)
+    ready = ok & least.isNotNull()
+    return {"min_zoom": F.when(ready, least), "max_zoom": F.when(ready, most), "start_lat": F.when(ready, lat), "start_lon": F.when(ready, lon)}

@@ -95,3 +95,9 @@ def _tile_id(z: pd.Series, x: pd.Series, y: pd.Series) -> pd.Series:
 def tile_id(zoom: Column, x: Column, y: Column) -> Column:
     """Identifier of a tile: levels one after another, each along its curve."""
     return F.pandas_udf(_tile_id, "long")(zoom, x, y)
+
+
+def readable(offset: Column, length: Column, size: Column) -> Column:
+    """Bytes that a request may read: never past the end, 0 for none. The sum of
+    offset and length is not formed."""
+    return F.when((length <= 0) | (offset < 0) | (offset >= size), F.lit(0).cast("long")).otherwise(F.least(length, size - offset))

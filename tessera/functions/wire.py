@@ -11,6 +11,8 @@ import zlib
 from collections.abc import Callable, Iterator
 from decimal import Decimal
 
+import numpy as np
+
 #: Codes of compressions in archive headers
 COMPRESSIONS = ("unknown", "none", "gzip", "brotli", "zstd")
 #: Codes of geometry types in tiles
@@ -34,11 +36,23 @@ def varint(data: bytes, at: int) -> tuple[int, int]:
 
 
 def varints(data: bytes) -> list[int]:
-    out, at = [], 0
-    while at < len(data):
-        value, at = varint(data, at)
-        out.append(value)
-    return out
+    """All numbers of packed bytes, at once: short ones by numpy."""
+    raw = np.frombuffer(data, np.uint8)
+    ends = np.flatnonzero(raw < 0x80)
+    if not len(raw):
+        return []
+    if not len(ends) or ends[-1] != len(raw) - 1:
+        raise ValueError("bad varint")
+    starts = np.concatenate([[0], ends[:-1] + 1])
+    longest = int((ends - starts).max()) + 1
+    if longest > 10:
+        raise ValueError("bad varint")
+    out = np.zeros(len(ends), np.uint64)
+    for i in range(longest):
+        at = starts + i
+        held = at <= ends
+        out[held] |= (raw[at[held]] & 0x7F).astype(np.uint64) << np.uint64(7 * i)
+    return out.tolist()
 
 
 def to_varint(value: int) -> bytes:
@@ -81,6 +95,36 @@ def decompress(data: bytes, compression: str, limit: int) -> bytes:
     return out
 
 
+def gzip_report(data: bytes | None, limit: int) -> tuple[str, int | None, bool | None]:
+    """How a gzip member ends: (status, bytes, crc_ok), for readers that go forward
+    only and check nothing. Status is ok, large, or broken; the bytes that could
+    be unpacked are counted, and whether checksum and size at the end agree."""
+    if data is None or len(data) < 18 or data[:3] != b"\x1f\x8b\x08":
+        return "broken", None, None
+    try:
+        machine = zlib.decompressobj(-15)
+        out = machine.decompress(data[_gzip_body(data) :], limit + 1)
+    except (zlib.error, ValueError):
+        return "broken", None, None
+    if len(out) > limit:
+        return "large", None, None
+    if not machine.eof or len(machine.unused_data) < 8:
+        return "broken", None, None
+    crc, size = struct.unpack("<II", machine.unused_data[:8])
+    return "ok", len(out), crc == zlib.crc32(out) and size == len(out) & 0xFFFFFFFF
+
+
+def _gzip_body(data: bytes) -> int:
+    """Where the compressed part of a member begins: after its header's fields."""
+    flags, at = data[3], 10
+    if flags & 4:
+        at += 2 + int.from_bytes(data[10:12], "little")
+    for bit in (8, 16):
+        if flags & bit:
+            at = data.index(b"\0", at) + 1
+    return at + 2 * (flags >> 1 & 1)
+
+
 def fields(data: bytes) -> Iterator[tuple[int, int, int | bytes]]:
     """Number, wire type and value of each field of a message. Groups fail."""
     at = 0

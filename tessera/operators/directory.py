@@ -21,6 +21,16 @@ def decode_columns(rows: DataFrame) -> DataFrame:
     return rows.withColumn("offset", start + before).drop("island", "d_id", "raw_offset")
 
 
+#: rows that are sent to all tasks at most
+BROADCAST_ROWS = 1_000_000
+
+
+def broadcast_checked(rows: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
+    """``rows`` to be sent to all tasks if they are ``most`` at most, which is
+    counted first; else a plain side of a join."""
+    return F.broadcast(rows) if rows.limit(most + 1).count() <= most else rows
+
+
 def lookup(tiles: DataFrame, directory: DataFrame, width: int = 1 << 12) -> DataFrame:
     """archive and tile_id of ``tiles`` with offset and length of the entry of
     that archive whose run holds the tile, null without one.

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from fractions import Fraction
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -57,17 +58,48 @@ def clip_segment(x0: int, y0: int, x1: int, y1: int, left: int, top: int, right:
     return at(x0, dx, enter), at(y0, dy, enter), at(x0, dx, leave), at(y0, dy, leave)
 
 
+#: ends within this distance are clipped in 64-bit integers, all products fit
+NEAR = 1 << 20
+
+
+def clip_arrays(x0, y0, x1, y1, left: int, top: int, right: int, bottom: int):
+    """``clip_segment`` of int64 arrays whose numbers are at most NEAR: which are
+    left, and their four ends. Places along a segment are fractions that are
+    compared crosswise, so nothing is rounded before the end."""
+    dx, dy = x1 - x0, y1 - y0
+    one, zero = np.ones(len(x0), np.int64), np.zeros(len(x0), np.int64)
+    enter, leave = (zero, one), (one, one)
+    keep = np.ones(len(x0), bool)
+    for p, q in ((-dx, x0 - left), (dx, right - x0), (-dy, y0 - top), (dy, bottom - y0)):
+        keep &= (p != 0) | (q >= 0)
+        later = (p < 0) & (-q * enter[1] > enter[0] * -p)
+        enter = np.where(later, -q, enter[0]), np.where(later, -p, enter[1])
+        sooner = (p > 0) & (q * leave[1] < leave[0] * p)
+        leave = np.where(sooner, q, leave[0]), np.where(sooner, p, leave[1])
+    keep &= enter[0] * leave[1] <= leave[0] * enter[1]
+    at = lambda a, d, t: (2 * t[1] * a + 2 * d * t[0] + t[1]) // (2 * t[1])
+    return keep, at(x0, dx, enter), at(y0, dy, enter), at(x0, dx, leave), at(y0, dy, leave)
+
+
 def clip_segments(rows: DataFrame, left: int, top: int, right: int, bottom: int) -> DataFrame:
-    """Clip x0 y0 x1 y1 of each row; rows outside go."""
-    import pandas as pd
+    """Clip x0 y0 x1 y1 of each row; rows outside go, as do those with a null end."""
+    near_frame = max(map(abs, (left, top, right, bottom))) <= NEAR
+    ends = ["x0", "y0", "x1", "y1"]
 
     def run(batches):
         for pdf in batches:
-            got = [clip_segment(a, b, d, e, left, top, right, bottom) for a, b, d, e in zip(pdf.x0.tolist(), pdf.y0.tolist(), pdf.x1.tolist(), pdf.y1.tolist())]
-            keep = [g is not None for g in got]
-            out = pdf[keep].copy()
-            out[["x0", "y0", "x1", "y1"]] = pd.DataFrame([g for g in got if g], index=out.index, columns=["x0", "y0", "x1", "y1"])
-            yield out
+            pdf = pdf.dropna(subset=ends)
+            values = pdf[ends].to_numpy(np.int64)
+            near = (np.abs(values).max(axis=1, initial=0) <= NEAR) & near_frame
+            out, keep = values.copy(), np.zeros(len(values), bool)
+            held, *got = clip_arrays(*values[near].T, left, top, right, bottom)
+            keep[near], out[near] = held, np.column_stack(got)
+            for i in np.flatnonzero(~near):  # beyond 64 bits
+                if clipped := clip_segment(*values[i].tolist(), left, top, right, bottom):
+                    keep[i], out[i] = True, clipped
+            left_over = pdf[keep].copy()
+            left_over[ends] = out[keep]
+            yield left_over
 
     return rows.mapInPandas(run, rows.schema)
 

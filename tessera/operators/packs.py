@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.functions import camera
-from tessera.functions.kinds import PROFILES
+from tessera.functions import camera, geo
+from tessera.functions.kinds import known_profile
 
 c = F.col
+# Fixed value: text fields that a manifest must fill, in order.
 REQUIRED = ("pack_id", "pack_version", "display_name", "region_id", "region_name", "content_profile", "schema_version", "source_snapshot", "builder", "builder_version", "builder_commit", "build_date", "pack_class")
 
 
@@ -25,9 +26,9 @@ def pack_identity() -> Column:
     )
 
 
-def validation(identity: Column | None = None) -> Column:
+def validation(identity: Column | None = None, aliases: dict[str, str] | None = None) -> Column:
     """The first rule that a manifest breaks, or ``none``. Missing text counts as
-    empty."""
+    empty; ``aliases`` are other ids of known schemas."""
     empty = F.lit(False)
     for name in REQUIRED:
         empty = empty | (F.coalesce(c(name), F.lit("")) == "")
@@ -38,7 +39,7 @@ def validation(identity: Column | None = None) -> Column:
         F.when(empty, "required_field")
         .when(~camera.valid_bounds(), "bounds")
         .when(~(c("min_zoom").between(0, 31) & c("max_zoom").between(0, 31) & (c("min_zoom") <= c("max_zoom"))), "zoom_range")
-        .when((c("pmtiles_version") != 3) | ~c("schema_version").isin(*PROFILES) | ~c("pack_class").isin("clean", "permissive", "open"), "compatibility")
+        .when((c("pmtiles_version") != 3) | known_profile(c("schema_version"), aliases).isNull() | ~c("pack_class").isin("clean", "permissive", "open"), "compatibility")
         .when((F.size(ids) == 0) | F.exists(ids, lambda x: F.coalesce(x, F.lit("")) == ""), "provenance")
         .when(F.exists(credits, lambda x: F.coalesce(x, F.lit("")) == ""), "attribution")
         .when((F.coalesce("size_bytes", F.lit(0)) <= 0) | ~F.coalesce(c("output_sha256").rlike("^[0-9A-Fa-f]{64}$"), F.lit(False)), "archive")
@@ -72,24 +73,38 @@ def box(prefix: str = "") -> tuple[Column, ...]:
 CELL = 10.0
 
 
-def _cells(prefix: str) -> Column:
-    """Latitude cells that a box meets: an equi-join key for containment."""
-    low, high = (F.floor((c(prefix + x) + 90.0) / CELL).cast("int") for x in ("min_lat", "max_lat"))
-    return F.sequence(low, high)
+def _cells(box: tuple[Column, ...]) -> Column:
+    """Cells of longitude and latitude that a box meets, those of both segments of
+    one over the antimeridian: an equi-join key for containment and overlap."""
+    grid = lambda v: F.floor((v + 180.0) / CELL).cast("int")
+    west, south, east, north = box
+    columns = F.flatten(F.transform(segments(west, east), lambda s: F.sequence(grid(s["a"]), grid(s["b"]))))
+    rows = F.when(south <= north, F.sequence(grid(south), grid(north)))
+    return F.array_distinct(F.flatten(F.transform(rows, lambda y: F.transform(columns, lambda x: y * 100 + x))))
+
+
+def valid_request() -> Column:
+    """Requests with valid bounds and zoom; others meet no pack."""
+    west, south, east, north = box("q_")
+    ok = west.between(-180.0, 180.0) & east.between(-180.0, 180.0) & south.between(-geo.MAX_LAT, geo.MAX_LAT) & north.between(-geo.MAX_LAT, geo.MAX_LAT) & (south <= north)
+    return F.coalesce(ok & c("zoom").between(0, geo.MAX_ZOOM), F.lit(False))
 
 
 def candidates(requests: DataFrame, packs: DataFrame) -> DataFrame:
     """Pairs of a request (req_id, zoom, q_ box) and a pack whose zooms hold the
     request's and whose box holds or meets it; ``inside`` tells which.
 
-    Boxes are dealt to latitude cells, so the join has keys; a pair is made in
-    the first cell that both have."""
-    q = requests.withColumn("cell", F.explode(_cells("q_")))
-    p = packs.withColumn("cell", F.explode(_cells(""))).withColumn("p_first", F.floor((c("min_lat") + 90.0) / CELL))
-    j = q.join(p, "cell").filter(c("cell") == F.greatest("p_first", F.floor((c("q_min_lat") + 90.0) / CELL)))
-    j = j.filter(c("zoom").between(c("min_zoom"), c("max_zoom")))
+    Boxes are dealt to cells, so the join has keys; a pair is made once, in the
+    first cell that both have. Plain overlap of boxes over the antimeridian takes
+    their edges as they are, so it is found in the cells of the pack's segments or
+    not at all."""
+    q = requests.filter(valid_request()).withColumn("q_cells", _cells(box("q_")))
+    p = packs.withColumn("p_cells", _cells(box()))
+    pairs = q.withColumn("cell", F.explode("q_cells")).join(p.withColumn("cell", F.explode("p_cells")), "cell")
+    j = pairs.filter(c("zoom").between(c("min_zoom"), c("max_zoom")))
+    j = j.filter(c("cell") == F.array_min(F.array_intersect("q_cells", "p_cells")))
     j = j.withColumn("inside", contains(box(), box("q_")))
-    return j.filter(c("inside") | overlaps(box(), box("q_"))).drop("cell", "p_first")
+    return j.filter(c("inside") | overlaps(box(), box("q_"))).drop("cell", "p_cells", "q_cells")
 
 
 def resolve(requests: DataFrame, packs: DataFrame) -> DataFrame:

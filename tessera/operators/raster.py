@@ -96,25 +96,54 @@ def shape_spans(shape: str, px: int, paths: list[Points], width: int, height: in
     return np.concatenate(parts)
 
 
-def spans(shapes: DataFrame, width: int, height: int) -> DataFrame:
-    """frame, ordinal, rgb, y, x0, x1 of all shapes. Null paths draw nothing."""
+def spans(shapes: DataFrame, width: int, height: int, band_height: int | None = None) -> DataFrame:
+    """frame, ordinal, rgb, y, x0, x1 of all shapes. Null paths draw nothing. With
+    ``band_height``, shapes have a column band and draw the rows of it only."""
     names = ["frame", "ordinal", "rgb", "y", "x0", "x1"]
 
     def run(batches):
         for batch in batches:
-            for frame, ordinal, rgb, shape, px, paths in zip(*(batch.column(i).to_pylist() for i in range(6))):
+            for frame, ordinal, rgb, shape, px, paths, band in zip(*(batch.column(i).to_pylist() for i in range(7))):
                 got = shape_spans(shape, px or 0, [[(p["x"], p["y"]) for p in path] for path in paths or []], width, height)
+                if band_height is not None:
+                    got = got[got[:, 0] // band_height == band]
                 if n := len(got):
                     yield pa.RecordBatch.from_arrays([pa.array([frame] * n, pa.int64()), pa.array([ordinal] * n, pa.int64()), pa.array([rgb] * n, pa.int32()), *(pa.array(got[:, i].astype(np.int32)) for i in range(3))], names)
 
-    rows = shapes.select(F.col("frame").cast("long"), F.col("ordinal").cast("long"), F.col("rgb").cast("int"), "shape", "px", "paths")
+    band = F.lit(None) if band_height is None else F.col("band")
+    rows = shapes.select(F.col("frame").cast("long"), F.col("ordinal").cast("long"), F.col("rgb").cast("int"), "shape", "px", "paths", band.cast("long").alias("band"))
     return rows.mapInArrow(run, "frame long, ordinal long, rgb int, y int, x0 int, x1 int")
 
 
 def composite(drawn: DataFrame) -> DataFrame:
-    """frame, y, x, rgb: the colour of the last shape on each pixel."""
-    pixels = drawn.select("frame", "ordinal", "rgb", "y", F.explode(F.sequence("x0", "x1")).alias("x"))
-    return pixels.groupBy("frame", "y", "x").agg(F.max_by("rgb", "ordinal").alias("rgb"))
+    """frame, y, x, rgb: the colour of the last shape on each pixel. Rows of the
+    frame are the unit of work: what is shuffled are spans, not pixels, and a task
+    paints one row at a time."""
+
+    def run(batches):
+        key, rows = None, []
+
+        def done():
+            ordinal, x0, x1, rgb = (np.array(v) for v in zip(*sorted(rows)))
+            left = x0.min()
+            line = np.full(x1.max() - left + 1, -1, np.int64)
+            for a, b, v in zip(x0 - left, x1 - left, rgb):
+                line[a : b + 1] = v
+            at = np.flatnonzero(line >= 0)
+            return pa.RecordBatch.from_arrays([pa.array(np.full(len(at), key[0]), pa.int64()), pa.array(np.full(len(at), key[1], np.int32)), pa.array((at + left).astype(np.int32)), pa.array(line[at].astype(np.int32))], ["frame", "y", "x", "rgb"])
+
+        for batch in batches:
+            for frame, y, ordinal, x0, x1, rgb in zip(*(batch.column(i).to_pylist() for i in range(6))):
+                if (frame, y) != key:
+                    if rows:
+                        yield done()
+                    key, rows = (frame, y), []
+                rows.append((ordinal, x0, x1, rgb))
+        if rows:
+            yield done()
+
+    lines = drawn.select("frame", "y", "ordinal", "x0", "x1", "rgb").repartition("frame", "y").sortWithinPartitions("frame", "y")
+    return lines.mapInArrow(run, "frame long, y int, x int, rgb int")
 
 
 def images(pixels: DataFrame, width: int, height: int, background: int = 0) -> DataFrame:

@@ -65,7 +65,8 @@ RANGES = f"""(SELECT *, CAST(floor(cx - width * 0.5::DOUBLE / ts) AS BIGINT) AS
 PLACED = f"(SELECT view_id, zoom, n, y, ux, (y - y0) * (x1 - x0 + 1) + ux - x0 AS ordinal FROM (SELECT *, unnest(range(x0, x1 + 1)) AS ux FROM (SELECT *, unnest(range(y0, y1 + 1)) AS y FROM {RANGES})))"
 SEEN = f"(SELECT view_id, zoom, y, {pmod('x0 + k', 'n')} AS x, (y - y0) * cnt + k AS ordinal FROM (SELECT *, unnest(range(0, cnt)) AS k FROM (SELECT *, least(x1 - x0 + 1, n) AS cnt, unnest(range(y0, y1 + 1)) AS y FROM {RANGES})))"
 TILES = f"(SELECT event_id, z, {idx(tx('lon', 'z'), 'z')} AS x, {idx(ty('lat', 'z'), 'z')} AS y FROM (SELECT *, CAST(event_id % 17 AS INTEGER) AS z FROM {PLACES}))"
-DENSITY = f"(SELECT z, x, y, count(*) AS n FROM (SELECT z, {idx(tx('lon', 'z'), 'z')} AS x, {idx(ty('lat', 'z'), 'z')} AS y FROM (SELECT *, CAST(unnest(range(0, 9)) AS INTEGER) AS z FROM {PLACES})) GROUP BY z, x, y)"
+def density(top):
+    return f"(SELECT z, x, y, count(*) AS n FROM (SELECT z, {idx(tx('lon', 'z'), 'z')} AS x, {idx(ty('lat', 'z'), 'z')} AS y FROM (SELECT *, CAST(unnest(range(0, {top})) AS INTEGER) AS z FROM {PLACES})) GROUP BY z, x, y)"
 
 
 def slon(x):
@@ -135,9 +136,29 @@ AREA = f"""(SELECT o_custkey AS feature_id, ring, CAST(count(*) AS INTEGER) AS n
 SEGMENTS = f"(SELECT ring, CAST(i AS INTEGER) AS i, x AS x0, y AS y0, lead(x) OVER w AS x1, lead(y) OVER w AS y1 FROM {POINTS} WHERE ring IN (SELECT o_orderkey FROM orders) WINDOW w AS (PARTITION BY ring ORDER BY i))"
 LABELS = "(SELECT p_partkey % 3 AS frame, p_partkey AS id, p_name AS text, CAST(p_partkey * 7 % 40 * 30 AS INTEGER) AS x, CAST(p_partkey * 11 % 30 * 20 AS INTEGER) AS y, CAST(trunc(CASE WHEN p_partkey % 4 < 2 THEN 20000 ELSE 10000 END + least(greatest(CASE WHEN p_partkey % 2 = 0 THEN p_size + 0.5 ELSE 100 - p_size END, 0), 100) * 100) AS INTEGER) AS priority FROM part)"
 KM = f"(SELECT s_suppkey, {lat('s_suppkey')} AS lat, {lon('s_suppkey')} AS lon, (s_suppkey % 50 + 1)::DOUBLE * 20 AS km FROM supplier)"
-PAN = f"(SELECT *, {clampl(slat('height * 0.5::DOUBLE + 20'))} AS lat1, {wrap(slon('width * 0.5::DOUBLE + 45'))} AS lon1 FROM {VIEWS} WHERE abs(lat) < 60)"
+PAN = f"(SELECT *, {clampl(slat('height * 0.5::DOUBLE + 20'))} AS lat1, {wrap(slon('width * 0.5::DOUBLE + 45'))} AS lon1 FROM {VIEWS})"
 ZOOMED = f"(SELECT *, least(greatest(zoom + view_id % 5 - 2, 0), 31) AS z1, {slat('60.0::DOUBLE')} AS alat, {slon('100.0::DOUBLE')} AS alon FROM {VIEWS})"
 
+def along(num, den):
+    """A place along a segment: as a double to compare, and as a fraction."""
+    return f"{{'t': ({num})::DOUBLE / ({den}), 'num': ({num})::BIGINT, 'den': ({den})::BIGINT}}"
+
+
+FIRST, LAST = along("0", "1"), along("1", "1")
+
+
+def entering(v):
+    return f"CASE WHEN d{v} > 0 THEN {along(f'512 - {v}0', f'd{v}')} WHEN d{v} < 0 THEN {along(f'{v}0 - 3583', f'-d{v}')} END"
+
+
+def leaving(v):
+    return f"CASE WHEN d{v} > 0 THEN {along(f'3583 - {v}0', f'd{v}')} WHEN d{v} < 0 THEN {along(f'{v}0 - 512', f'-d{v}')} END"
+
+
+def clipped(v, t):
+    return f"CAST(floor((2 * {t}.den * {v}0 + 2 * d{v} * {t}.num + {t}.den)::DOUBLE / (2 * {t}.den)) AS INTEGER)"
+
+
 ORACLE = {
     "tile_of_point": f"SELECT * FROM {TILES}",
     "tile_corner": f"SELECT event_id, {r6(lonof('x::DOUBLE', 'z'))} AS lon, {r6(latof('y::DOUBLE', 'z'))} AS lat FROM {TILES}",
@@ -145,13 +166,13 @@ ORACLE = {
     "hilbert_tile_id": f"""WITH RECURSIVE t AS (SELECT * FROM {TILES}), h AS (SELECT event_id, z, x, y, (1::BIGINT << z) // 2 AS s, 0::BIGINT AS d FROM t UNION ALL
  SELECT event_id, z, CASE WHEN y & s <> 0 THEN x ELSE CASE WHEN x & s <> 0 THEN s - 1 - (y & (s - 1)) ELSE y & (s - 1) END END, CASE WHEN y & s <> 0 THEN y ELSE CASE WHEN x & s <> 0 THEN s - 1 - (x & (s - 1)) ELSE x & (s - 1) END END, s // 2, d + s * s * xor(CASE WHEN x & s <> 0 THEN 3 ELSE 0 END, CASE WHEN y & s <> 0 THEN 1 ELSE 0 END) FROM h WHERE s > 0)
  SELECT event_id, ((1::BIGINT << (2 * z)) - 1) // 3 + d AS tile_id, ((1::BIGINT << (2 * z)) - 1) // 3 AS before FROM h WHERE s = 0""",
-    "tile_density_by_zoom": f"SELECT * FROM {DENSITY}",
+    "tile_density_by_zoom": f"SELECT * FROM {density(9)}",
     "visible_tiles": f"SELECT * FROM {SEEN}",
     "tile_placements": f"SELECT view_id, zoom, {pmod('ux', 'n')} AS x, y, ux AS unwrapped_x, ordinal FROM {PLACED}",
     "distinct_tiles": f"SELECT view_id, {pmod('ux', 'n')} AS x, y, min(ordinal) AS ordinal, count(*) AS copies FROM {PLACED} GROUP BY 1, 2, 3",
-    "present_missing_tiles": f"SELECT view_id, count(d.n) AS present, CAST(sum(CASE WHEN d.n IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS missing, CAST(coalesce(sum(d.n), 0) AS BIGINT) AS places FROM {SEEN} s LEFT JOIN {DENSITY} d ON s.zoom = d.z AND s.x = d.x AND s.y = d.y WHERE s.zoom <= 8 GROUP BY view_id",
+    "present_missing_tiles": f"SELECT view_id, count(d.n) AS present, CAST(sum(CASE WHEN d.n IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS missing, CAST(coalesce(sum(d.n), 0) AS BIGINT) AS places FROM {SEEN} s LEFT JOIN {density(15)} d ON s.zoom = d.z AND s.x = d.x AND s.y = d.y GROUP BY view_id",
     "camera_bounds": f"SELECT view_id, {r6('CASE WHEN width >= n * ts THEN -180 ELSE ' + slon('0.0::DOUBLE') + ' END')} AS min_lon, {r6(slat('height::DOUBLE'))} AS min_lat, {r6('CASE WHEN width >= n * ts THEN 180 ELSE ' + slon('width::DOUBLE') + ' END')} AS max_lon, {r6(slat('0.0::DOUBLE'))} AS max_lat FROM {VIEWS}",
-    "project_point": f"SELECT v.view_id, p.event_id, round(width * 0.5::DOUBLE + {delta(tx('p.lon', 'zoom'), 'cx', 'n')} * ts, 3) AS sx, round(height * 0.5::DOUBLE + ({ty('p.lat', 'zoom')} - cy) * ts, 3) AS sy FROM {PLACES} p JOIN {VIEWS} v ON p.event_id % 25 = v.view_id WHERE zoom <= 10 AND p.event_id % 97 = 0",
+    "project_point": f"SELECT v.view_id, p.event_id, round(width * 0.5::DOUBLE + {delta(tx('p.lon', 'zoom'), 'cx', 'n')} * ts, 3) AS sx, round(height * 0.5::DOUBLE + ({ty('p.lat', 'zoom')} - cy) * ts, 3) AS sy FROM {PLACES} p JOIN {VIEWS} v ON p.event_id % 25 = v.view_id",
     "pan": f"SELECT view_id, {r6(clampl(slat('height * 0.5::DOUBLE - 20')))} AS lat, {r6(wrap(slon('width * 0.5::DOUBLE + 45')))} AS lon FROM {VIEWS}",
     "zoom_at_point": f"SELECT view_id, z1 AS zoom, {r6(clampl(latof('(' + ty('alat', 'z1') + ' - (60 - height * 0.5::DOUBLE) / ts)', 'z1')))} AS lat, {r6(wrap(lonof('(' + tx('alon', 'z1') + ' - (100 - width * 0.5::DOUBLE) / ts)', 'z1')))} AS lon FROM {ZOOMED}",
     "frame_transform": f"SELECT view_id, 1.0::DOUBLE AS scale, round({delta('cx', tx('lon1', 'zoom'), 'n')} * ts, 3) AS dx, round((cy - {ty('lat1', 'zoom')}) * ts, 3) AS dy FROM {PAN}",
@@ -174,7 +195,7 @@ ORACLE = {
     "pack_resolve_tiered": f"SELECT r.req_id, CASE WHEN a.pack_id IS NOT NULL THEN 1 WHEN b.pack_id IS NOT NULL THEN 2 ELSE 0 END AS tier, coalesce(a.pack_id, b.pack_id) AS pack_id FROM {REQUESTS} r LEFT JOIN (SELECT req_id, last(pack_id ORDER BY priority, pack_id) AS pack_id FROM {REQUESTS}, {PACKS} WHERE status = 'none' AND zoom BETWEEN min_zoom AND max_zoom AND {INSIDE} GROUP BY req_id) a USING (req_id) LEFT JOIN (SELECT req_id, first(pack_id ORDER BY priority DESC, ordinal) AS pack_id FROM {REQUESTS}, {PACKS} WHERE status = 'none' AND zoom BETWEEN min_zoom AND max_zoom AND {MEETS} GROUP BY req_id) b USING (req_id)",
     "radius_bbox": f"SELECT s_suppkey, {r6('CASE WHEN dl >= 180 THEN -180 ELSE greatest(lon - dl, -180) END')} AS min_lon, {r6('greatest(lat - km / 111.32::DOUBLE, -85.0511287798066::DOUBLE)')} AS min_lat, {r6('CASE WHEN dl >= 180 THEN 180 ELSE least(lon + dl, 180) END')} AS max_lon, {r6('least(lat + km / 111.32::DOUBLE, 85.0511287798066::DOUBLE)')} AS max_lat FROM (SELECT *, km / (111.32::DOUBLE * cos(radians(least(abs(lat) + km / 111.32::DOUBLE, 89.9::DOUBLE)))) AS dl FROM {KM})",
     "directory_decode": f"SELECT * FROM {DIRECTORY}",
-    "asof_tile_lookup": f'SELECT event_id, e.tile_id, CASE WHEN e.tile_id < d.tile_id + d.run_length THEN d."offset" END AS "offset", CASE WHEN e.tile_id < d.tile_id + d.run_length THEN d.length END AS length FROM (SELECT event_id, event_id * 3 % 2500 AS tile_id FROM events) e ASOF LEFT JOIN (SELECT * FROM {DIRECTORY} WHERE archive = 1) d ON e.tile_id >= d.tile_id',
+    "asof_tile_lookup": f'SELECT event_id, e.archive, e.tile_id, CASE WHEN e.tile_id < d.tile_id + d.run_length THEN d."offset" END AS "offset", CASE WHEN e.tile_id < d.tile_id + d.run_length THEN d.length END AS length FROM (SELECT event_id, event_id * 3 % 2500 AS tile_id, archive FROM events, (SELECT DISTINCT p_partkey % 5 AS archive FROM part)) e ASOF LEFT JOIN {DIRECTORY} d ON e.archive = d.archive AND e.tile_id >= d.tile_id',
     "size_summary": "SELECT p_brand, count(*) AS n, min(p_size) AS min, list_sort(list(p_size))[count(*) // 2 + 1] AS upper_median, max(p_size) AS max FROM part GROUP BY p_brand",
     "ring_area": f"SELECT * FROM {AREA}",
     "ring_parts": f"""WITH a AS (SELECT *, sign(area2) AS sg FROM {AREA} WHERE n_points >= 3), o AS (SELECT feature_id, arg_min(sg, ring) AS outer_sign FROM a WHERE sg <> 0 GROUP BY feature_id)
@@ -183,6 +204,8 @@ ORACLE = {
     "band_load": f"SELECT band, count(*) AS shapes FROM (SELECT ring, CAST(unnest(range(greatest(y0, 0) // 256, least(y1, 4095) // 256 + 1)) AS BIGINT) AS band FROM (SELECT ring, min(y) AS y0, max(y) AS y1 FROM {POINTS} WHERE ring IN (SELECT o_orderkey FROM orders) GROUP BY ring) WHERE y1 >= 0 AND y0 < 4096) GROUP BY band",
     "painted_bounds": f"SELECT ring, min(x) AS x0, min(y) AS y0, max(x) AS x1, max(y) AS y1 FROM {POINTS} WHERE ring IN (SELECT o_orderkey FROM orders) GROUP BY ring",
     "line_segments": f"SELECT * FROM {SEGMENTS} WHERE x1 IS NOT NULL",
+    "clip_segments": f"""WITH s AS (SELECT *, x1 - x0 AS dx, y1 - y0 AS dy FROM {SEGMENTS} WHERE x1 IS NOT NULL), t AS (SELECT *, list_max([{FIRST}, {entering('x')}, {entering('y')}]) AS a, list_min([{LAST}, {leaving('x')}, {leaving('y')}]) AS b FROM s
+ WHERE (dx <> 0 OR x0 BETWEEN 512 AND 3583) AND (dy <> 0 OR y0 BETWEEN 512 AND 3583)) SELECT ring, i, {clipped('x', 'a')} AS x0, {clipped('y', 'a')} AS y0, {clipped('x', 'b')} AS x1, {clipped('y', 'b')} AS y1 FROM t WHERE a.t <= b.t""",
     "project_q16": "SELECT p_partkey, CAST(floor((ox + x * sc) / 65536.0::DOUBLE) AS INTEGER) AS px FROM (SELECT p_partkey, CAST((p_partkey * 37) % 5000 - 400 AS BIGINT) AS x, CAST(floor(256 / 4096.0::DOUBLE * 65536 + 0.5) AS BIGINT) AS sc, CAST(floor(round(0.5::DOUBLE * CASE (p_partkey % 25) % 3 WHEN 0 THEN 1280 WHEN 1 THEN 320 ELSE 480 END - (p_partkey % 25) * 300.25::DOUBLE, 6) * 65536 + 0.5) AS BIGINT) AS ox FROM part)",
     "label_priority": f"SELECT id, priority FROM {LABELS}",
     "label_pool": f"SELECT frame, id, CAST(place AS INTEGER) AS place FROM (SELECT *, row_number() OVER (PARTITION BY frame ORDER BY priority DESC, id, text, x, y) AS place FROM (SELECT * FROM {LABELS} QUALIFY row_number() OVER (PARTITION BY frame, x, y, text ORDER BY priority DESC, id, text, x, y) = 1)) WHERE place <= 128",

@@ -62,8 +62,19 @@ def distinct_tiles(spark, d):
     return camera.tile_placements(s.views(spark, d)).groupBy("view_id", "x", "y").agg(F.min("ordinal").alias("ordinal"), F.count("*").alias("copies"))
 
 
+def _tiles_in_view(spark, d, places, *columns):
+    """Places counted by the tiles that some view shows: rows are spread to the
+    views' zooms only and cleared by the visible tiles before they are shuffled."""
+    seen = visible_tiles(spark, d).select("zoom", "x", "y").distinct()
+    zooms = F.broadcast(s.views(spark, d).select("zoom").distinct())  # 32 at most
+    n = geo.tiles_per_axis(c("zoom"))
+    spread = places.crossJoin(zooms).select("zoom", geo.tile_index(geo.tile_x(c("lon"), n), n).alias("x"), geo.tile_index(geo.tile_y(c("lat"), n), n).alias("y"), *columns)
+    kept = spread.join(directory.broadcast_checked(seen), ["zoom", "x", "y"], "left_semi")
+    return kept.groupBy("zoom", "x", "y", *columns).agg(F.count("*").alias("n"))
+
+
 def present_missing_tiles(spark, d):
-    have = _density(spark, d, 14).withColumnRenamed("z", "zoom")
+    have = _tiles_in_view(spark, d, s.places(spark, d))
     return visible_tiles(spark, d).join(have, ["zoom", "x", "y"], "left").groupBy("view_id").agg(F.count("n").alias("present"), F.sum(c("n").isNull().cast("long")).alias("missing"), F.coalesce(F.sum("n"), F.lit(0)).alias("places"))
 
 
@@ -91,7 +102,7 @@ def frame_transform(spark, d):
     lat, lon = camera.pan(F.lit(45.0), F.lit(20.0))
     old = (c("lat"), c("lon"), c("zoom"), c("ts"))
     scale, dx, dy = camera.frame_transform(old, (lat, lon, c("zoom"), c("ts")))
-    return s.views(spark, d).filter("abs(lat) < 60").select("view_id", r6(scale, "scale"), F.round(dx, 3).alias("dx"), F.round(dy, 3).alias("dy"))
+    return s.views(spark, d).select("view_id", r6(scale, "scale"), F.round(dx, 3).alias("dx"), F.round(dy, 3).alias("dy"))
 
 
 def fit_bounds(spark, d):
@@ -286,19 +297,17 @@ def attribution_required(spark, d):
 
 
 def gesture_session(spark, d):
+    """The camera after every gesture of each user's session."""
     from tessera.streaming.sessions import sessions
 
-    kind = F.when(c("event_type") == "click", "zoom_in").when(c("event_type") == "error", "zoom_out").when(c("event_type") == "view", "drag").when(c("event_type") == "purchase", "reset").otherwise("none")
-    rows = s.read(spark, d, "events").select(c("user_id").alias("session"), "ts", "event_id", kind.alias("kind"), "value")
-    return sessions(rows)
+    kind = F.when(c("event_type") == "click", "zoom_in").when(c("event_type") == "error", "zoom_out").when(c("event_type") == "view", "drag").when(c("event_type") == "purchase", "reset").otherwise("recenter")
+    return sessions(s.read(spark, d, "events").select(c("user_id").alias("session"), "ts", "event_id", kind.alias("kind"), c("value").alias("a"), (c("value") / 2).alias("b")))
 
 
 def view_tile_kinds(spark, d):
     """The flagship: places per tile and kind of every view, with style."""
     views = s.views(spark, d)
     places = s.places(spark, d).withColumn("kind", F.when(c("event_type") == "view", "water").when(c("event_type") == "click", "minor_road").when(c("event_type") == "signup", "park").when(c("event_type") == "purchase", "building").otherwise("label_primary"))
-    n = geo.tiles_per_axis(c("zoom"))
-    tiles = places.withColumn("zoom", F.explode(F.sequence(F.lit(0), F.lit(14)))).select("zoom", geo.tile_index(geo.tile_x(c("lon"), n), n).alias("x"), geo.tile_index(geo.tile_y(c("lat"), n), n).alias("y"), "kind")
-    counts = tiles.groupBy("zoom", "x", "y", "kind").agg(F.count("*").alias("n"))
+    counts = _tiles_in_view(spark, d, places, "kind")
     rules = F.broadcast(kinds.style_rules(spark).filter(c("style") == kinds.DEFAULT_STYLE))
     return camera.visible_tiles(views).drop("n").join(counts, ["zoom", "x", "y"]).join(rules, "kind").select("view_id", "zoom", "x", "y", "kind", "n", kinds.shown(c("zoom")).alias("shown"))

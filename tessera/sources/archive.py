@@ -11,6 +11,7 @@ archive; each leaf directory is a task of its own. ``first_tile`` and
 from __future__ import annotations
 
 import struct
+from bisect import bisect_left
 from collections.abc import Iterator
 from itertools import accumulate
 
@@ -72,6 +73,22 @@ def encode_entries(rows: list[tuple[int, int, int, int]]) -> bytes:
     return b"".join(map(wire.to_varint, [len(rows), *steps, *(r[1] for r in rows), *(r[2] for r in rows), *offsets]))
 
 
+def tile_id(z: int, x: int, y: int) -> int:
+    """Number of a tile along the curve; no tile: an error."""
+    if not (0 <= z <= geo.MAX_ZOOM and 0 <= x < 1 << z and 0 <= y < 1 << z):
+        raise ValueError(f"no tile {z}/{x}/{y}")
+    place, side = 0, 1 << z >> 1
+    while side:
+        right, low = x & side > 0, y & side > 0
+        place += side * side * ((3 if right else 0) ^ (1 if low else 0))
+        if not low:
+            if right:
+                x, y = side - 1 - (x & side - 1), side - 1 - (y & side - 1)
+            x, y = y, x
+        x, y, side = x & side - 1, y & side - 1, side >> 1
+    return (4**z - 1) // 3 + place
+
+
 def _open(path: str):
     if "://" in path or path.startswith("file:"):
         files, path = fs.FileSystem.from_uri(path.replace("file:/", "file:///", 1) if path.startswith("file:/") and not path.startswith("file://") else path)
@@ -102,6 +119,15 @@ class _Reader(DataSourceReader):
             raise ValueError(f"part must be one of {', '.join(SCHEMAS)}")
         self.path = options["path"]
         self.first, self.last = int(options.get("first_tile", 0)), int(options.get("last_tile", (1 << 63) - 1))
+        self.wanted = sorted({tile_id(*map(int, t.split("/"))) for t in options["tiles"].split(",")}) if options.get("tiles") else None
+        if self.wanted is not None:
+            self.first, self.last = max(self.first, self.wanted[0]), min(self.last, self.wanted[-1])
+
+    def asked(self, first: int, end: int) -> bool:
+        """Whether a tile from ``first`` up to, without, ``end`` is asked for."""
+        if end <= self.first or first > self.last:
+            return False
+        return self.wanted is None or bisect_left(self.wanted, first) < bisect_left(self.wanted, end)
 
     def partitions(self):
         out = []
@@ -116,7 +142,7 @@ class _Reader(DataSourceReader):
             if rows := [r for r in root if r[1]]:
                 out.append(_Piece(archive, head, rows, None))
             ends = [r[0] - 1 for r in root[1:]] + [(1 << 63) - 1]
-            out.extend(_Piece(archive, head, None, (r[3], r[2])) for r, end in zip(root, ends) if not r[1] and r[0] <= self.last and end >= self.first)
+            out.extend(_Piece(archive, head, None, (r[3], r[2])) for r, end in zip(root, ends) if not r[1] and self.asked(r[0], end + 1))
         return out or [_Piece("", {}, [], None)]
 
     @staticmethod
@@ -146,7 +172,7 @@ class _Reader(DataSourceReader):
                 yield piece.archive, wire.decompress(raw, head["internal_compression"], MAX_METADATA).decode("utf-8", "replace") if raw else ""
                 return
             rows = piece.rows if piece.leaf is None else self._leaf(f, head, piece.leaf, 1)
-            rows = [r for r in rows if r[0] <= self.last and r[0] + r[1] > self.first]
+            rows = [r for r in rows if self.asked(r[0], r[0] + r[1])]
             if self.part == "directory":
                 for tile, run, length, offset in rows:
                     yield piece.archive, tile, run, offset, length
@@ -258,11 +284,12 @@ FEATURES = (
 )
 
 
-def features(stored: DataFrame, layers: list[str] | None = None, without: list[str] = (), max_part: int | None = None) -> DataFrame:
+def features(stored: DataFrame, layers: list[str] | None = None, without: list[str] = (), max_part: int | None = None, most: int | None = None) -> DataFrame:
     """Features of ``part=tiles``, one row each; a stored tile is decoded once and
     keeps its run. ``status`` is ok, or for a tile that fails (one row, other
     columns null) the reason. ``layers`` and ``without`` choose layers before
-    features are decoded. Null payloads fail; empty ones have no rows."""
+    features are decoded. Null payloads fail; empty ones have no rows. ``most``
+    ends the decoding of a tile after so many features."""
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import _parse_datatype_string
 
@@ -276,7 +303,7 @@ def features(stored: DataFrame, layers: list[str] | None = None, without: list[s
                 try:
                     if payload is None:
                         raise ValueError("no payload")
-                    got = wire.decode_tile(wire.decompress(payload, compression, wire.MAX_TILE), include, max_part)
+                    got = wire.decode_tile(wire.decompress(payload, compression, wire.MAX_TILE), include, max_part)[:most]
                 except ValueError as e:
                     got, key = [{}], key | {"status": str(e)}
                 else:

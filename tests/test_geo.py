@@ -59,8 +59,8 @@ def test_frame_transform(spark):
 
 
 def test_fnv_and_colours(spark):
-    got = spark.createDataFrame([("orcsdr-dark",), ("standard-light",), ("",)], "s string").select(kinds.fnv1a(F.col("s")).alias("h")).collect()
-    assert [r.h for r in got] == [2784465359, 4247692921, 2166136261]
+    got = spark.createDataFrame([("field-dark",), ("standard-light",), ("",)], "s string").select(kinds.fnv1a(F.col("s")).alias("h")).collect()
+    assert [r.h for r in got] == [4173305314, 4247692921, 2166136261]
     assert spark.range(1).select(kinds.rgb565(F.lit(255), F.lit(255), F.lit(255))).first()[0] == 65535
     px = spark.createDataFrame([(0.0,), (0.5,), (1.8,), (2.5,), (90.0,)], "w double").select(kinds.stroke_px(F.col("w")).alias("p")).collect()
     assert [r.p for r in px] == [0, 1, 2, 3, 64]
@@ -70,7 +70,7 @@ def test_styles(spark):
     rules = kinds.style_rules(spark)
     assert rules.count() == 60
     assert rules.filter(kinds.shown(F.lit(25))).count() == 0
-    assert kinds.drag_style(rules.filter("style = 'orcsdr-dark'")).filter("visible").count() == 6
+    assert kinds.drag_style(rules.filter("style = 'field-dark'")).filter("visible").count() == 6
 
 
 def test_clip():
