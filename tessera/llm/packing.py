@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from tessera.llm.common import strings, text_batches
+from tessera.llm.common import releasing, strings, text_batches
 
 END = 1
 MAX_LENGTH = 2048
@@ -62,7 +62,7 @@ def load(path: str) -> tuple[Tokenizer, tiktoken.Encoding, np.ndarray, regex.Pat
 class Recent(dict):
     """A cache of two generations: what was met since the last full one stays."""
 
-    LIMIT = 250_000
+    LIMIT = 150_000
 
     def __init__(self):
         self.older: dict = {}
@@ -77,6 +77,10 @@ class Recent(dict):
         self[key] = out
         return out
 
+    def forget(self) -> None:
+        self.clear()
+        self.older = {}
+
 
 class WordIds(Recent):
     """Ids of a word of the pattern, lower-case, by tiktoken."""
@@ -106,6 +110,10 @@ class ChunkIds(Recent):
         self.library, engine, ids, self.pattern, self.added = load(path)
         self.words = WordIds(engine, ids)
 
+    def forget(self) -> None:
+        super().forget()
+        self.words.forget()
+
     def make(self, chunk: bytes) -> bytes:
         if chunk.isalpha():  # ASCII letters
             return self.words[chunk.lower().decode()]
@@ -153,8 +161,9 @@ def _pack(path: str, max_length: int, with_ids: bool):
                     cols = [[] for _ in names]
             if cols[0]:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names)
+        known.forget()
 
-    return run
+    return releasing(run)
 
 
 def pack_pow2(docs: DataFrame, tokenizer: str | None = None, max_length: int = MAX_LENGTH, with_ids: bool = True) -> DataFrame:
