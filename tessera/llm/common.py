@@ -3,6 +3,8 @@ fixed-size sketches and distributed connected components."""
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -65,6 +67,28 @@ def strings(column: pa.Array) -> list[str]:
     return [x if x is not None else "" for x in column.to_pylist()]
 
 
+def release_memory() -> None:
+    """Give what a finished task held back to the system: Python workers go on to
+    the next task and would keep it beside the executor's own memory."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
+def releasing(run):
+    """A function over record batches that gives its memory back at the end."""
+
+    def whole(batches):
+        try:
+            yield from run(batches)
+        finally:
+            release_memory()
+
+    return whole
+
+
 def id_text(doc_id: str = "doc_id"):
     return F.col(doc_id).cast("string")
 
@@ -194,10 +218,11 @@ def maybe_in(hashes: DataFrame):
     full lets more pass, so an exact join must follow. It keeps texts that cannot
     match from being shuffled."""
     bits = min(max(BLOOM_LEAST, 1 << (hashes.count() * BLOOM_PER_KEY).bit_length()), BLOOM_MOST)
-    rows = hashes.mapInArrow(_bloom_build(bits), "chunk int, low binary").repartition("chunk").mapInArrow(_bloom_merge, "chunk int, bits binary").toLocalIterator()
+    rows = hashes.mapInArrow(_bloom_build(bits), "chunk int, low binary").repartition("chunk").mapInArrow(_bloom_merge, "chunk int, bits binary").toArrow()
     packed = np.zeros(bits // 8, np.uint8)
-    for r in rows:
-        packed[r.chunk * BLOOM_CHUNK // 8 : (r.chunk + 1) * BLOOM_CHUNK // 8] = np.frombuffer(r.bits, np.uint8)
+    for chunk, part in zip(rows["chunk"], rows["bits"]):
+        at = chunk.as_py() * BLOOM_CHUNK // 8
+        packed[at : at + BLOOM_CHUNK // 8] = np.frombuffer(part.as_buffer(), np.uint8)
     held = hashes.sparkSession.sparkContext.broadcast(packed)
 
     @F.pandas_udf("boolean")

@@ -77,7 +77,7 @@ def stream_state(spark: SparkSession, folder: str, schema, per_trigger: int) ->
 def fetch(places: DataFrame) -> DataFrame:
     """``places`` (file, at and more) with the normalised text that stands there."""
     spark = places.sparkSession
-    paths = [unquote(r.file) for r in places.select("file").distinct().toLocalIterator()]
+    paths = [unquote(r.file) for r in places.select("file").distinct().collect()]
     texts = spark.read.parquet(*paths).select(normalized(F.col("text")).alias("norm"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("at"))
     maybe = maybe_in(places.select(F.xxhash64(*AT)))
     return texts.filter(maybe(F.xxhash64(*AT))).join(places, AT)
@@ -117,12 +117,13 @@ def decide(docs: DataFrame, state: str | None = None, label: str | None = None,
     if older is not None and not older.isEmpty():
         held = held.union(fetch(older).select("key", F.col("norm").alias("held")))
     again = found(hits.filter("not kept")).select("key", "norm")
-    unlike = materialize(again.join(held, "key").filter("norm <> held").select("key").distinct(), "dedup-unlike")
+    unlike = materialize(again.join(held, "key").filter("norm <> held").select("key"), "dedup-unlike")
 
     out = ["doc_id", "keep_id", F.col("n").alias("group_size"), "kept", F.lower(F.hex("sha")).alias("text_sha256"), *AT]
     once = rows.withColumn("keep_id", F.col("doc_id")).withColumn("n", F.lit(1).cast("long")).withColumn("kept", F.lit(True))
     plain, tables = hits, [rows, groups, hits]
     if not unlike.isEmpty():
+        unlike = unlike.distinct()
         every = spark.read.schema(rows.schema).parquet(f"{folder}/rows/*").join(unlike, "key", "left_semi")
         every = materialize(fetch(materialize(every, "dedup-clash")), "dedup-texts")
         least = every.groupBy("key", "norm").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", *AT)).alias("f"), F.count("*").alias("n"))

@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import ADDRESS, addressed, components, forget, materialize, maybe_in, strings, text_batches, without_rows
+from tessera.llm.common import ADDRESS, addressed, components, forget, materialize, maybe_in, releasing, strings, text_batches, without_rows
 
 _M = np.uint64(0x9E3779B97F4A7C15)
 _A = np.uint64(0xBF58476D1CE4E5B9)
@@ -48,7 +48,7 @@ LEAST_PLACES, MOST_PLACES = 1 << 20, 1 << 28
 TEXT_BYTES = 6.5
 CHUNK = 1 << 16
 #: shingles that a task counts, and postings that it gathers, at a time
-FLUSH = 2_000_000
+FLUSH = 1_000_000
 
 
 class WordHashes(dict):
@@ -222,7 +222,7 @@ def _sketch(k: int, places: int, most: int):
         if n:
             yield told(held)
 
-    return run
+    return releasing(run)
 
 
 def _merge_sketch(levels: list[float]):
@@ -250,10 +250,10 @@ def frequency_levels(texts: DataFrame, k: int, most_places: int = MOST_PLACES) -
     places = CHUNK * math.ceil(min(max(size, LEAST_PLACES), most_places) / CHUNK)
     mean = size / places
     levels = [1, 7 + 4 * mean, 63 + 16 * mean]
-    merged = texts.mapInArrow(_sketch(k, places, int(levels[-1]) + 1), "chunk int, steps binary").repartition("chunk").mapInArrow(_merge_sketch(levels), "chunk int, levels binary")
+    merged = texts.mapInArrow(_sketch(k, places, int(levels[-1]) + 1), "chunk int, steps binary").repartition("chunk").mapInArrow(_merge_sketch(levels), "chunk int, levels binary").toArrow()
     out = np.zeros(places // 4, np.uint8)
-    for r in merged.toLocalIterator():
-        out[r.chunk * CHUNK // 4 : (r.chunk + 1) * CHUNK // 4] = np.frombuffer(r.levels, np.uint8)
+    for chunk, part in zip(merged["chunk"], merged["levels"]):
+        out[chunk.as_py() * CHUNK // 4 : (chunk.as_py() + 1) * CHUNK // 4] = np.frombuffer(part.as_buffer(), np.uint8)
     return out, places
 
 
@@ -286,7 +286,7 @@ def _describe(k: int, percent: int, sketch):
                 made = [pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(keys)))]
                 yield pa.RecordBatch.from_arrays([*(c.slice(i, len(n)) for c in passed), *made], [*batch.schema.names[1:], "n_shingles", "digest", "keys"])
 
-    return run
+    return releasing(run)
 
 
 def _gather(batches):
@@ -343,7 +343,7 @@ def _sets(k: int):
             if rows:
                 yield _members(rows)
 
-    return run
+    return releasing(run)
 
 
 def _members(rows):
@@ -376,7 +376,7 @@ def _blocks(percent: int):
         if rows:
             yield done()
 
-    return run
+    return releasing(run)
 
 
 def _search(members: DataFrame, nodes: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
@@ -432,7 +432,7 @@ def ngram_components(docs: DataFrame, k: int = 5, percent: int = 80, block_size:
     band = F.floor(F.log(F.col("n_shingles").cast("double")) / (1.0001 * math.log(100 / percent))).cast("int") if percent < 100 else F.col("n_shingles").cast("int")
     postings = keyed.select("node", F.explode("keys").alias("key"), band.alias("band"))
     postings = postings.select("node", F.explode(F.array(F.xxhash64("key", "band"), F.xxhash64("key", F.col("band") + 1))).alias("key"))
-    postings = materialize(postings.mapInArrow(_gather, "key long, head long, node long, many boolean"), "postings")
+    postings = materialize(postings.mapInArrow(releasing(_gather), "key long, head long, node long, many boolean"), "postings")
     heads = postings.filter("node = head").select("key", "head", "many").repartition("key")
     shared = heads.groupBy("key").agg(F.count("*").alias("n"), F.min("head").alias("block"), F.max("many").alias("any")).filter("n > 1 or any").select("key", "block")
     blocks = materialize(heads.join(shared, "key").select("key", "head", "block", "many"), "heads")
