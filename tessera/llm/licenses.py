@@ -12,9 +12,8 @@ from __future__ import annotations
 import math
 import re
 import zlib
+from collections import Counter
 from collections.abc import Callable
-from functools import reduce
-from operator import or_
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame
@@ -107,24 +106,12 @@ def template_bigrams(text: str) -> list[str]:
     return sorted({f"{a} {b}" for a, b in zip(words, words[1:])})
 
 
-def anchors(grams: dict[str, list[str]], low: float) -> dict[str, int]:
-    """Words of which any match has one, with the bigrams of the smallest template
-    that needs them: a match holds ``low`` of its template's bigrams at least, and
-    fewer than that are without these words. Long words are taken first, as they
-    are rare in other texts, and again if they can be; for templates that only
-    long texts can match, the most frequent, as these are few."""
-    out: dict[str, int] = {}
-    for own in sorted(grams.values(), key=len):
-        left = [g for g in own if not out.keys() & set(g.split())]
-        while left and len(left) >= low * len(own):
-            count: dict[str, int] = {}
-            for g in left:
-                for w in set(g.split()):
-                    count[w] = count.get(w, 0) + 1
-            best = max(count, key=lambda w: (len(w) >= 6 or len(own) >= 500, count[w], len(w), w))
-            out[best] = len(own)
-            left = [g for g in left if best not in g.split()]
-    return out
+def anchors(own: list[str], need: int, spread: dict[str, int]) -> list[str]:
+    """Bigrams of which any match has one: it lacks fewer than these. Those with
+    long words are taken, as they are rare in other texts, and of equals those that
+    more templates share (``spread``), so that few different ones are looked for."""
+    rare = sorted(own, key=lambda g: (-max(map(len, g.split())), -spread[g], -len(g), g))
+    return rare[: len(own) - need + 1]
 
 
 def dealt(own: list[str]) -> list[list[str]]:
@@ -140,94 +127,120 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
-def words(text: Column) -> Column:
-    return F.filter(F.split(text, "[^a-z0-9]+"), lambda w: w != "")
-
-
 def bigrams(words: Column) -> Column:
     """Word bigrams of an array of words, in order, with repeats."""
     most = F.greatest(F.size(words) - 1, F.lit(0))
     return F.zip_with(F.slice(words, F.lit(1), most), F.slice(words, F.lit(2), most), lambda a, b: F.concat(a, F.lit(" "), b))
 
 
-def best_unit() -> Column:
-    """Best coefficient of the whole text or one of its lines."""
-    dice = lambda x: let(F.array_distinct(x), lambda d: 2.0 * F.size(F.array_intersect(d, "own")) / (F.size(d) + F.col("size")))
-    lines = F.transform(F.split("text", "\n"), lambda line: let(words(line), lambda w: dice(bigrams(w))))
-    return F.greatest(dice(F.col("all")), F.array_max(lines))
+def lowered(parts: Column) -> Column:
+    """Words of a text that was split: nothing but ASCII letters and digits."""
+    return F.transform(F.filter(parts, lambda w: w != ""), F.lower)
 
 
-def best_run(low: float) -> Column:
-    """Best coefficient of a run of words with a template; ``all`` has the text's
-    bigrams, ``own`` the ``size`` bigrams of the template, ``dealt`` too, by hash.
+def dice(grams: Column, form: Column) -> Column:
+    """Coefficient of a set of bigrams with a template."""
+    return 2.0 * F.size(F.array_intersect(grams, form["own"])) / (F.size(grams) + form["size"])
+
+
+def placed(all_grams: Column) -> Column:
+    """Each bigram with its place and the last place before where it stood, -1 for
+    none, in the order of places."""
+    ordered = F.sort_array(F.transform(all_grams, lambda g, i: F.struct(g.alias("g"), i.alias("at"))))
+    prev = lambda rows, x, k: F.when((k > 0) & (F.get(rows, k - 1)["g"] == x["g"]), F.get(rows, k - 1)["at"]).otherwise(-1)
+    return let(ordered, lambda rows: F.sort_array(F.transform(rows, lambda x, k: F.struct(x["at"].alias("at"), prev(rows, x, k).alias("prev"), x["g"].alias("g")))))
+
+
+def best_run(seq: Column, form: Column, low: float) -> Column:
+    """Best coefficient of a run of words with a template; ``seq`` is ``placed``.
 
     A bigram of the template before a run never lowers its coefficient and any
     other at its start never raises it, so the best run starts where a stretch of
     the template's bigrams does. From all these starts, all runs of up to ``most``
     bigrams are scored: more are too many for a match unless they repeat. A bigram
     counts in a run if its last place before (``prev``) is not in the run."""
-    hit = lambda g: F.array_contains(F.get("dealt", F.pmod(F.crc32(g.cast("binary")), F.size("dealt")).cast("int")), g)
-    ordered = F.sort_array(F.transform("all", lambda g, i: F.struct(g.alias("g"), i.alias("at"))))
-    prev = lambda rows, x, k: F.when((k > 0) & (F.get(rows, k - 1)["g"] == x["g"]), F.get(rows, k - 1)["at"]).otherwise(-1)
-    placed = let(ordered, lambda rows: F.sort_array(F.transform(rows, lambda x, k: F.struct(x["at"].alias("at"), prev(rows, x, k).alias("prev"), hit(x["g"]).cast("int").alias("hit")))))
+    hit = lambda g: F.array_contains(F.get(form["dealt"], F.pmod(F.crc32(g.cast("binary")), F.size(form["dealt"])).cast("int")), g)
+    marked = F.transform(seq, lambda x: F.struct(x["at"].alias("at"), x["prev"].alias("prev"), hit(x["g"]).cast("int").alias("hit")))
 
     def step(acc: Column, x: Column, start: Column) -> Column:
         new = F.when(x["prev"] < start, 1).otherwise(0)
-        return let(F.struct((acc["n"] + new).alias("n"), (acc["both"] + new * x["hit"]).alias("both")), lambda y: F.struct(y["n"].alias("n"), y["both"].alias("both"), F.greatest(acc["best"], 2.0 * y["both"] / (y["n"] + F.col("size"))).alias("best")))
+        return let(F.struct((acc["n"] + new).alias("n"), (acc["both"] + new * x["hit"]).alias("both")), lambda y: F.struct(y["n"].alias("n"), y["both"].alias("both"), F.greatest(acc["best"], 2.0 * y["both"] / (y["n"] + form["size"])).alias("best")))
 
     zero = F.struct(F.lit(0).alias("n"), F.lit(0).alias("both"), F.lit(0.0).alias("best"))
-    best = lambda rows, start: F.aggregate(F.slice(rows, start + 1, F.col("most")), zero, lambda acc, x: step(acc, x, start), lambda acc: acc["best"])
-    starts = lambda rows: F.filter(rows, lambda x, k: (x["hit"] == 1) & ((k == 0) | (F.get(rows, k - 1)["hit"] == 0)) & (F.size(rows) - k >= low * F.col("size")))
-    return let(placed, lambda rows: F.array_max(F.transform(starts(rows), lambda x: best(rows, x["at"]))))
+    best = lambda rows, start: F.aggregate(F.slice(rows, start + 1, form["most"]), zero, lambda acc, x: step(acc, x, start), lambda acc: acc["best"])
+    starts = lambda rows: F.filter(rows, lambda x, k: (x["hit"] == 1) & ((k == 0) | (F.get(rows, k - 1)["hit"] == 0)) & (F.size(rows) - k >= form["need"]))
+    return let(marked, lambda rows: F.array_max(F.transform(starts(rows), lambda x: best(rows, x["at"]))))
 
 
 def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, template, dice, n_found for each row of ``docs``.
 
     ``template`` is the best match of the whole text, one of its lines or a run of
-    its words, which may cross lines, with a coefficient of at least ``threshold`` (ties: the first by name), null without one; ``n_found`` is the number of templates matched. Normalisation: ASCII
-    letters lowered, everything but letters and digits of ASCII as one space.
-    Null, empty and one-word texts match nothing. Repeated rows stay; other
-    columns are ignored. Templates are a parameter; they are sent to all tasks.
+    its words, which may cross lines, with a coefficient of at least ``threshold``
+    (ties: the first by name), null without one; ``n_found`` is the number of
+    templates matched. Normalisation: ASCII letters lowered, everything but letters
+    and digits of ASCII as one space. Null, empty and one-word texts match nothing.
+    Repeated rows stay; other columns are ignored. Templates are a parameter; they
+    go to all tasks as one value.
+
+    Each row is judged by itself, nothing is shuffled or joined. A text is split
+    into words once; only texts with a word that some match must have are looked at
+    further, and templates are tried when the text has a bigram that any match of
+    theirs must have and as many of their bigrams as a match needs.
     """
     spark = docs.sparkSession
-    grams = {n: template_bigrams(t) for n, t in templates.items()}
+    grams = {n: g for n, t in templates.items() if (g := template_bigrams(t))}
     low = threshold / (2 - threshold) * (1 - 1e-9)  # the coefficient decides ties
-    rows = docs.select("doc_id", F.monotonically_increasing_id().alias("row"), F.translate(F.coalesce("text", F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz").alias("text"))
-    # n words make n - 1 bigrams at most, and words of a unit that is long enough
-    # take two bytes each: a bound that needs no splitting
-    marks = anchors(grams, low)
-    long_enough = lambda name, size: F.length(name) >= 2 * int(low * size) + 1
-    has_mark = lambda name: reduce(or_, (long_enough(name, n) & reduce(or_, (F.contains(F.col(name), F.lit(w)) for w in marks if marks[w] == n)) for n in sorted(set(marks.values()))))
-    marked = rows.filter(has_mark("text"))
-    forms = [(n, len(g), math.ceil(len(template_words(templates[n])) / low), g, dealt(g)) for n, g in grams.items() if g]
-    forms = F.broadcast(spark.createDataFrame(forms, "template string, size int, most int, own array<string>, dealt array<array<string>>"))
-    # a match shares ``low`` of its template's bigrams, so few texts and templates
-    # meet; the set of all templates' bigrams comes first, as it is looked up at once
-    every = ", ".join(f"'{g}'" for g in sorted(set().union(*grams.values())))
-    texts = marked.select("row", "text", words(F.col("text")).alias("w")).select("row", "text", bigrams(F.col("w")).alias("all"))
-    texts = texts.select("*", F.expr(f"array_distinct(filter(`all`, g -> g in ({every})))").alias("hits"))
-    meet = (F.size("hits") >= low * F.col("size")) & (F.size(F.array_intersect("hits", "own")) >= low * F.col("size"))
-    pairs = texts.join(forms, meet)
-    dice = pairs.select("row", "template", F.greatest(best_unit(), best_run(low)).alias("dice")).filter(F.col("dice") >= threshold)
-    best = dice.groupBy("row").agg(F.min(F.struct((-F.col("dice")).alias("d"), "template")).alias("b"), F.count_distinct("template").alias("n_found"))
-    return rows.select("doc_id", "row").join(best, "row", "left").select("doc_id", "b.template", F.round(-F.col("b.d"), 9).alias("dice"), F.coalesce("n_found", F.lit(0)).cast("long").alias("n_found"))
+    needs = {n: math.ceil(low * len(g)) for n, g in grams.items()}
+    spread = Counter(g for own in grams.values() for g in own)
+    marks = {n: anchors(g, needs[n], spread) for n, g in grams.items()}
+    forms = [(n, len(g), needs[n], math.ceil(len(template_words(templates[n])) / low), g, marks[n], dealt(g)) for n, g in grams.items()]
+    shape = "template string, size int, need int, most int, own array<string>, marks array<string>, dealt array<array<string>>"
+    held = spark.createDataFrame(forms, shape).select(F.collect_list(F.struct("*")).alias("forms"))
+    every, rare = sorted(set().union(*grams.values())), sorted({max(g.split(), key=lambda w: (len(w), w)) for x in marks.values() for g in x})
+    in_set = lambda x, values: F.coalesce(x.isin(*values), F.lit(False)) if values else F.lit(False)
+    split = lambda text: F.split(text, r"\P{Alnum}+")  # noqa: E731  letters and digits of ASCII
+
+    rows = docs.select("doc_id", "text", split(F.col("text")).alias("parts"))
+    rows = rows.select("doc_id", "text", F.when(F.exists("parts", lambda w: in_set(F.lower(w), rare)), F.col("parts")).alias("parts"))
+    rows = rows.select("doc_id", "text", bigrams(lowered(F.col("parts"))).alias("all"))
+    rows = rows.select("*", F.array_distinct(F.filter("all", lambda g: in_set(g, every))).alias("hits"))
+    rows = rows.select("doc_id", "text", "all", "hits", F.when(F.size("hits") > 0, held.scalar()).alias("forms"))
+    enough = lambda f: (F.size("hits") >= f["need"]) & F.arrays_overlap(f["marks"], F.col("hits")) & (F.size(F.array_intersect("hits", f["own"])) >= f["need"])
+    rows = rows.select("doc_id", "text", "all", F.filter("forms", enough).alias("near"))
+    some = F.size("near") > 0
+    lines = F.filter(F.transform(F.split("text", "\n"), lambda line: F.array_distinct(bigrams(lowered(split(line))))), lambda g: F.size(g) > 0)
+    rows = rows.select("doc_id", "near", F.when(some, placed(F.col("all"))).alias("seq"), F.when(some, F.concat(F.array(F.array_distinct("all")), lines)).alias("units"))
+    best = lambda f: F.greatest(F.array_max(F.transform("units", lambda u: dice(u, f))), best_run(F.col("seq"), f, low))
+    scored = F.transform("near", lambda f: F.struct((-best(f)).alias("d"), f["template"].alias("template")))
+    rows = rows.select("doc_id", F.when(some, F.filter(scored, lambda x: x["d"] <= -threshold)).alias("found"))
+    first = F.array_min("found")
+    return rows.select("doc_id", first["template"].alias("template"), F.round(-first["d"], 9).alias("dice"), F.coalesce(F.size("found"), F.lit(0)).cast("long").alias("n_found"))
 
 
 def _sql() -> str:
+    """Whole texts, lines, and runs of up to as many bigrams as a match can have
+    without repeats, from each place where a stretch of a template's bigrams begins."""
     grams = {n: template_bigrams(t) for n, t in TEMPLATES.items()}
-    rows = ", ".join(f"('{n}', {len(g)}, '{x}')" for n, g in grams.items() for x in g)
-    low, high = min(map(len, grams.values())), max(map(len, grams.values()))
+    low = THRESHOLD / (2 - THRESHOLD) * (1 - 1e-9)
+    rows = ", ".join(f"('{n}', {len(g)}, {math.ceil(len(template_words(TEMPLATES[n])) / low)}, '{x}')" for n, g in grams.items() for x in g)
     return rf"""
-WITH known(template, size, gram) AS (VALUES {rows}),
+WITH known(template, size, most, gram) AS (VALUES {rows}),
 d AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) AS r, coalesce(text, '') AS text FROM documents),
-u AS (SELECT r, unnest(CASE WHEN contains(text, chr(10)) THEN list_append(string_split(text, chr(10)), text) ELSE [text] END) AS line, generate_subscripts(CASE WHEN contains(text, chr(10)) THEN list_append(string_split(text, chr(10)), text) ELSE [text] END, 1) AS unit FROM d),
+u AS (SELECT r, unnest(list_prepend(text, string_split(text, chr(10)))) AS line, generate_subscripts(list_prepend(text, string_split(text, chr(10))), 1) AS unit FROM d),
 w AS (SELECT r, unit, list_filter(string_split(regexp_replace(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^a-z0-9]+', ' ', 'g'), ' '), lambda x: x <> '') AS w FROM u),
-g AS (SELECT r, unit, list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS grams FROM w WHERE len(w) > 1),
-f AS (SELECT r, unit, len(grams) AS n, grams FROM g WHERE len(grams) BETWEEN {low} * 2.0 / 3 - 1 AND {high} * 1.5 + 1),
-e AS (SELECT r, unit, n, unnest(grams) AS gram FROM f),
-m AS (SELECT r, unit, n, template, size, 2.0::DOUBLE * count(*) / (n + size) AS dice FROM e JOIN known USING (gram) GROUP BY r, unit, n, template, size),
-b AS (SELECT r, min({{'d': -dice, 't': template}}) AS b, count(DISTINCT template) AS n_found FROM m WHERE dice >= {THRESHOLD}::DOUBLE GROUP BY r)
+p AS (SELECT r, unit, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS gram, unnest(range(1, len(w))) AS at FROM w WHERE len(w) > 1),
+c AS (SELECT r, unit, count(DISTINCT gram) AS n FROM p GROUP BY r, unit),
+m AS (SELECT r, unit, template, size, most, count(DISTINCT gram) AS k FROM p JOIN known USING (gram) GROUP BY r, unit, template, size, most),
+units AS (SELECT r, template, 2.0::DOUBLE * k / (n + size) AS dice FROM m JOIN c USING (r, unit)),
+near AS (SELECT r, template, size, most FROM m WHERE unit = 1 AND k >= size * {low}),
+q AS (SELECT r, at, gram, coalesce(lag(at) OVER (PARTITION BY r, gram ORDER BY at), 0) AS prev FROM p WHERE unit = 1 AND r IN (SELECT r FROM near)),
+h AS (SELECT q.r, q.at, q.prev, n.template, n.size, n.most, k.gram IS NOT NULL AS hit FROM q JOIN near n USING (r) LEFT JOIN known k ON k.template = n.template AND k.gram = q.gram),
+s AS (SELECT * FROM (SELECT r, template, at AS start, hit, lag(hit) OVER (PARTITION BY r, template ORDER BY at) AS before FROM h) WHERE hit AND NOT coalesce(before, false)),
+runs AS (SELECT h.r, h.template, 2.0::DOUBLE * sum(CASE WHEN prev < start AND h.hit THEN 1 ELSE 0 END) OVER x / (sum(CASE WHEN prev < start THEN 1 ELSE 0 END) OVER x + size) AS dice
+  FROM h JOIN s ON h.r = s.r AND h.template = s.template AND h.at >= s.start AND h.at < s.start + h.most WINDOW x AS (PARTITION BY h.r, h.template, s.start ORDER BY h.at)),
+a AS (SELECT r, template, max(dice) AS dice FROM (SELECT * FROM units UNION ALL SELECT * FROM runs) GROUP BY r, template),
+b AS (SELECT r, min({{'d': -dice, 't': template}}) AS b, count(*) AS n_found FROM a WHERE dice >= {THRESHOLD}::DOUBLE GROUP BY r)
 SELECT d.doc_id, b.b.t AS template, round(-b.b.d, 9) AS dice, CAST(coalesce(b.n_found, 0) AS BIGINT) AS n_found FROM d LEFT JOIN b ON d.r = b.r
 """
 
@@ -236,4 +249,5 @@ SQL = _sql()
 
 
 def op6_license_scan(spark, sf_dir):
+    """Every whole text of documents against all templates."""
     return scan(spark.read.parquet(f"{sf_dir}/documents.parquet"))
