@@ -229,16 +229,16 @@ WITH known(template, size, most, gram) AS (VALUES {rows}),
 d AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) AS r, coalesce(text, '') AS text FROM documents),
 u AS (SELECT r, unnest(list_prepend(text, string_split(text, chr(10)))) AS line, generate_subscripts(list_prepend(text, string_split(text, chr(10))), 1) AS unit FROM d),
 w AS (SELECT r, unit, list_filter(string_split(regexp_replace(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^a-z0-9]+', ' ', 'g'), ' '), lambda x: x <> '') AS w FROM u),
-p AS (SELECT r, unit, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS gram, unnest(range(1, len(w))) AS at FROM w WHERE len(w) > 1),
+p AS (SELECT r, unit, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS gram, unnest(range(1, len(w))) AS pos FROM w WHERE len(w) > 1),
 c AS (SELECT r, unit, count(DISTINCT gram) AS n FROM p GROUP BY r, unit),
 m AS (SELECT r, unit, template, size, most, count(DISTINCT gram) AS k FROM p JOIN known USING (gram) GROUP BY r, unit, template, size, most),
 units AS (SELECT r, template, 2.0::DOUBLE * k / (n + size) AS dice FROM m JOIN c USING (r, unit)),
-near AS (SELECT r, template, size, most FROM m WHERE unit = 1 AND k >= size * {low}),
-q AS (SELECT r, at, gram, coalesce(lag(at) OVER (PARTITION BY r, gram ORDER BY at), 0) AS prev FROM p WHERE unit = 1 AND r IN (SELECT r FROM near)),
-h AS (SELECT q.r, q.at, q.prev, n.template, n.size, n.most, k.gram IS NOT NULL AS hit FROM q JOIN near n USING (r) LEFT JOIN known k ON k.template = n.template AND k.gram = q.gram),
-s AS (SELECT * FROM (SELECT r, template, at AS start, hit, lag(hit) OVER (PARTITION BY r, template ORDER BY at) AS before FROM h) WHERE hit AND NOT coalesce(before, false)),
+near AS (SELECT r, template, size, most FROM m WHERE unit = 1 AND k >= size * {low}::DOUBLE),
+q AS (SELECT r, pos, gram, coalesce(lag(pos) OVER (PARTITION BY r, gram ORDER BY pos), 0) AS prev FROM p WHERE unit = 1 AND r IN (SELECT r FROM near)),
+h AS (SELECT q.r, q.pos, q.prev, n.template, n.size, n.most, k.gram IS NOT NULL AS hit FROM q JOIN near n USING (r) LEFT JOIN known k ON k.template = n.template AND k.gram = q.gram),
+s AS (SELECT * FROM (SELECT r, template, pos AS start, hit, lag(hit) OVER (PARTITION BY r, template ORDER BY pos) AS before FROM h) WHERE hit AND NOT coalesce(before, false)),
 runs AS (SELECT h.r, h.template, 2.0::DOUBLE * sum(CASE WHEN prev < start AND h.hit THEN 1 ELSE 0 END) OVER x / (sum(CASE WHEN prev < start THEN 1 ELSE 0 END) OVER x + size) AS dice
-  FROM h JOIN s ON h.r = s.r AND h.template = s.template AND h.at >= s.start AND h.at < s.start + h.most WINDOW x AS (PARTITION BY h.r, h.template, s.start ORDER BY h.at)),
+  FROM h JOIN s ON h.r = s.r AND h.template = s.template AND h.pos >= s.start AND h.pos < s.start + h.most WINDOW x AS (PARTITION BY h.r, h.template, s.start ORDER BY h.pos)),
 a AS (SELECT r, template, max(dice) AS dice FROM (SELECT * FROM units UNION ALL SELECT * FROM runs) GROUP BY r, template),
 b AS (SELECT r, min({{'d': -dice, 't': template}}) AS b, count(*) AS n_found FROM a WHERE dice >= {THRESHOLD}::DOUBLE GROUP BY r)
 SELECT d.doc_id, b.b.t AS template, round(-b.b.d, 9) AS dice, CAST(coalesce(b.n_found, 0) AS BIGINT) AS n_found FROM d LEFT JOIN b ON d.r = b.r
