@@ -167,5 +167,6 @@ def encode_documents(docs: DataFrame, ranks: str | None = None, pattern: str = p
 
 
 def op7_byte_bpe(spark, sf_dir):
+    """Every whole text of documents, encoded and decoded."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return encode_documents(docs, with_ids=False).drop("ids")

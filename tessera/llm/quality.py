@@ -16,7 +16,8 @@ from tessera.llm.common import held_out, sample_labels, strings, text_batches
 
 #: labelled rows that a fit takes at most, in the order of a hash of the id
 SAMPLE = 20_000
-FEATURES = ("log_bytes", "log_words", "word_length", "distinct", "repeats", "line_repeats", "line_words", "upper", "digit", "symbol", "punctuation", "space", "high", "upper_words", "bars", "ends", "top_word", "zip")
+FEATURES = ("log_bytes", "log_words", "word_length", "distinct", "repeats", "line_repeats", "line_words", "upper", "digit", "symbol", "punctuation", "space", "high", "double_marks", "mark_words", "ends_sentence", "top_word", "distinct_by_root")
+DOUBLE_MARKS = (b"!!", b"??", b"**", b"==", b"--")
 _UPPER, _DIGIT, _PUNCT, _SYMBOL = (np.zeros(256, bool) for _ in range(4))
 _UPPER[65:91] = _DIGIT[48:58] = True
 _PUNCT[list(b".,;:!?'\"()-")] = True
@@ -41,7 +42,7 @@ def statistics(text: str) -> list[float]:
         np.log1p(n), np.log1p(w), n / w, len(distinct) / w, sum(a == b for a, b in pairwise(words)) / w,
         1 - len(set(lines)) / len(lines), np.log1p(w / len(lines)), counts[_UPPER].sum() / n, counts[_DIGIT].sum() / n,
         counts[_SYMBOL].sum() / n, counts[_PUNCT].sum() / n, (counts[32] + counts[9]) / n, counts[128:].sum() / n,
-        data.count(b"!!") / w, words.count(b"|") / w, float(tail in b".!?"), max(sample.values()) / w, len(distinct) / np.sqrt(w),
+        sum(map(data.count, DOUBLE_MARKS)) / w, sum(k for x, k in sample.items() if len(x) == 1 and not x.isalnum()) / w, float(tail in b".!?"), max(sample.values()) / w, len(distinct) / np.sqrt(w),
     ]
 
 
@@ -147,6 +148,8 @@ def with_score(docs: DataFrame, model: Trees, name: str = "score") -> DataFrame:
 
 
 def op2_quality(spark, sf_dir):
+    """Every row of documents scored for quality by a model that learns from the
+    labelled rows that are not held out."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     out = held_out("doc_id", 4, 2)

@@ -123,10 +123,10 @@ def fit(rows: list[np.ndarray], y: np.ndarray, changes: list[list[list[int]]] |
     if not n or pos in (0, n):
         mean = (pos + 0.5) / (n + 1)
         return Model(float(np.log(mean / (1 - mean))), {})
-    flat = np.concatenate(rows)
-    owner = np.repeat(np.arange(n), [len(r) for r in rows])
+    flat = np.concatenate(rows).astype(np.int32)
+    owner = np.repeat(np.arange(n, dtype=np.int32), [len(r) for r in rows])
     total = np.bincount(flat, minlength=SPACE)
-    toxic = np.bincount(flat, y[owner], minlength=SPACE)
+    toxic = np.bincount(np.concatenate([r for r, v in zip(rows, y) if v > 0]), minlength=SPACE)
     base = pos / n
     q = np.clip(toxic / np.maximum(total, 1), 1e-9, 1 - 1e-9)
     surprise = total * (q * np.log(q / base) + (1 - q) * np.log((1 - q) / (1 - base)))
@@ -136,7 +136,8 @@ def fit(rows: list[np.ndarray], y: np.ndarray, changes: list[list[list[int]]] |
     place = np.full(SPACE, -1)
     place[kept] = np.arange(len(kept))
     use = place[flat] >= 0
-    col, row = place[flat[use]], owner[use]
+    col, row = place[flat[use]].astype(np.int32), owner[use]
+    del flat, owner, use
     # counterparts as a sparse matrix: pair, column, sign; a row's pairs share one weight
     pair, where, sign, weight = [], [], [], []
     for own in changes or ():
@@ -188,7 +189,7 @@ def fit_labels(docs: DataFrame, labels: DataFrame, keep: Column | None = None, l
 
     got = named.select("text", "y").mapInArrow(run, "x array<int>, y int, changes array<array<int>>").toArrow()
     y = np.array(got["y"].to_pylist(), float)
-    rows = [np.array(r, np.int64) for chunk in got["x"].chunks for r in (x.values.to_numpy() for x in chunk)]
+    rows = [np.array(r, np.int32) for chunk in got["x"].chunks for r in (x.values.to_numpy() for x in chunk)]
     changes = got["changes"].to_pylist()
     order = sorted(range(len(y)), key=lambda i: (y[i], len(rows[i]), rows[i].tobytes(), changes[i]))
     return fit([rows[i] for i in order], y[order], [changes[i] for i in order], fairness=fairness)
