@@ -7,6 +7,7 @@ import base64
 import gc
 import hashlib
 from functools import lru_cache
+from itertools import chain
 
 import public_tokenizers
 import pyarrow as pa
@@ -43,18 +44,26 @@ def compile_ranks(ranks: dict[bytes, int]) -> Transducer:
 
 
 class Words(dict):
-    """Encoding of each word seen lately: number of ids, ids as text, ids."""
+    """Encoding of each word met lately: ids as text, ids. Two generations: words
+    met since the last full one stay."""
 
-    LIMIT = 400_000
+    LIMIT = 250_000
 
     def __init__(self, machine: Transducer, symbols: list[int]):
-        self.machine, self.symbols = machine, symbols
+        self.machine, self.older = machine, {}
+        #: bytes to symbols; the symbols of a rank file are the bytes in some order
+        self.table = bytes(symbols)
+        self.names = list(map(str, range(len(machine.halves))))
 
     def __missing__(self, word: str):
         if len(self) >= self.LIMIT:
+            self.older = dict(self)
             self.clear()
-        ids = self.machine.encode([self.symbols[b] for b in word.encode("utf-8", "surrogatepass")])
-        self[word] = out = (",".join(map(str, ids)), tuple(ids))
+        out = self.older.get(word)
+        if out is None:
+            ids = self.machine.encode(word.encode("utf-8", "surrogatepass").translate(self.table))
+            out = ",".join(map(self.names.__getitem__, ids)), tuple(ids)
+        self[word] = out
         return out
 
 
@@ -143,10 +152,10 @@ def _run(path: str, pattern: str, with_ids: bool):
                 part = texts[at : at + 500]
                 n, ids_sha, text_sha, kept = [], [], [], []
                 for text in part:
-                    got = [words[w] for w in find(text)]
-                    ids = [i for x in got for i in x[1]]
+                    names, parts = zip(*map(words.__getitem__, find(text))) if text else ((), ())
+                    ids = list(chain.from_iterable(parts))
                     n.append(len(ids))
-                    ids_sha.append(hashlib.sha256(",".join([x[0] for x in got]).encode()).hexdigest())
+                    ids_sha.append(hashlib.sha256(",".join(names).encode()).hexdigest())
                     text_sha.append(hashlib.sha256(decoder.decode(ids)).hexdigest())
                     kept.append(ids if with_ids else None)
                 yield pa.RecordBatch.from_arrays([pa.array(docs[at : at + 500], pa.int64()), pa.array(kept, pa.list_(pa.int32())), pa.array(n, pa.int64()), pa.array(ids_sha), pa.array(text_sha)], ["doc_id", "ids", "n_tokens", "ids_sha256", "decoded_sha256"])

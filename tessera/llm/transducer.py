@@ -52,7 +52,9 @@ class Transducer:
         self.moves: list[dict[int, int]] = [{} for _ in self.children]
         self.back: list[int] = [-1] * len(self.children)
         self.ends: list[tuple[tuple[int, int], ...] | None] = [None] * len(self.children)
-        self.pairs: dict[tuple[int, int], bool] = {}
+        #: which tokens were found to stand after a token, or not
+        self.after: list[dict[int, bool]] = [{} for _ in self.halves]
+        self.pairs = 0
 
     def adjacent(self, a: int, b: int) -> bool:
         """Whether ``a`` and ``b`` stay two tokens side by side."""
@@ -97,7 +99,7 @@ class Transducer:
 
     def _read(self, last: list[int], state: int, symbols: list[int]) -> int:
         """Read on from ``state``; ``last`` has the last token of each prefix."""
-        moves, ends, pairs, i = self.moves, self.ends, self.pairs, len(last) - 1
+        moves, ends, after, i = self.moves, self.ends, self.after, len(last) - 1
         for symbol in symbols:
             i += 1
             to = moves[state].get(symbol)
@@ -108,11 +110,14 @@ class Transducer:
                 before = last[i - length]
                 if before < 0:  # the word starts here
                     break
-                fits = pairs.get((before, token))
-                if fits is None:
-                    fits = pairs[before, token] = self.adjacent(before, token)
+                fits = after[before].get(token)
                 if fits:
                     break
+                if fits is None:
+                    fits = after[before][token] = self.adjacent(before, token)
+                    self.pairs += 1
+                    if fits:
+                        break
             else:
                 raise AssertionError("no token fits")
             last.append(token)
@@ -121,8 +126,8 @@ class Transducer:
     def encode(self, word: list[int]) -> list[int]:
         if len(word) > self.FLUSH:
             return [t for part in self.stream(word) for t in part]
-        if len(self.pairs) > self.MAX_PAIRS:
-            self.pairs.clear()
+        if self.pairs > self.MAX_PAIRS:
+            self.after, self.pairs = [{} for _ in self.halves], 0
         last = [-1]
         self._read(last, 0, word)
         return self._walk(last, len(word))
