@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -88,21 +90,55 @@ def pool(candidates: DataFrame, size: int = POOL) -> DataFrame:
     return one.withColumn("place", F.row_number().over(Window.partitionBy("frame").orderBy(*best))).filter(c("place") <= size)
 
 
-def place_greedily(frame: pd.DataFrame, width: int, height: int, char_w: int = 8, char_h: int = 24, limit: int = DRAWN) -> pd.DataFrame:
-    """Labels of a frame that fit, in order: fully on screen, none over another."""
+#: Fixed value: pixels around a label's box, and between its point and its text.
+PADDING = 4
+Measure = Callable[[str], "tuple[int, int] | None"]
+
+
+def fixed_metric(text: str) -> tuple[int, int] | None:
+    """Width and height of a text in glyphs of 8 by 24 pixels."""
+    return (8 * len(text), 24) if text else None
+
+
+def _draw(frame: pd.DataFrame, width: int, height: int, measure: Measure, limit: int) -> tuple[list, dict[str, int]]:
+    """Which rows are drawn, and what became of the others."""
     boxes: list[tuple[int, int, int, int]] = []
-    keep = []
-    for row in frame.sort_values("place").itertuples():
-        w = char_w * len(row.text)
-        x0, y0 = row.x - w // 2 - 4, row.y + 4 - 4
-        x1, y1 = x0 + w + 8, y0 + char_h + 8
-        free = x0 >= 0 and y0 >= 0 and x1 <= width and y1 <= height and all(x1 <= a or b <= x0 or y1 <= d or e <= y0 for a, d, b, e in boxes)
-        if free and len(boxes) < limit:
-            boxes.append((x0, y0, x1, y1))
-            keep.append(row.Index)
-    return frame.loc[keep]
-
-
-def layout(pooled: DataFrame, width: int, height: int) -> DataFrame:
-    """Draw the pool of each frame; a frame has at most POOL rows."""
-    return pooled.groupBy("frame").applyInPandas(lambda pdf: place_greedily(pdf, width, height), pooled.schema)
+    keep, stats = [], dict.fromkeys(("drawn", "unsupported", "offscreen", "overlap", "draw_limit"), 0)
+    frame = frame.sort_values("place")
+    for at, (index, text, x, y) in enumerate(zip(frame.index, frame.text, frame.x.tolist(), frame.y.tolist())):
+        if len(boxes) == limit:
+            stats["draw_limit"] = len(frame) - at
+            break
+        size = measure(text)
+        if not size or min(size) <= 0:
+            stats["unsupported"] += 1
+            continue
+        left, top = x - size[0] // 2 - PADDING, y
+        right, bottom = left + size[0] + 2 * PADDING, top + size[1] + 2 * PADDING
+        if left < 0 or top < 0 or right > width or bottom > height:
+            stats["offscreen"] += 1
+        elif any(left < c and a < right and top < d and b < bottom for a, b, c, d in boxes):
+            stats["overlap"] += 1
+        else:
+            boxes.append((left, top, right, bottom))
+            keep.append(index)
+    return keep, stats | {"drawn": len(keep)}
+
+
+def layout(pooled: DataFrame, width: int, height: int, measure: Measure = fixed_metric, limit: int = DRAWN) -> DataFrame:
+    """The labels of each frame that are drawn, in order: fully on screen, none
+    over another, ``limit`` at most. A frame has at most POOL rows. ``measure``
+    tells the size of a text as it will be drawn, None for one it can't draw."""
+    return pooled.groupBy("frame").applyInPandas(lambda pdf: pdf.loc[_draw(pdf, width, height, measure, limit)[0]], pooled.schema)
+
+
+def layout_stats(pooled: DataFrame, width: int, height: int, measure: Measure = fixed_metric, limit: int = DRAWN) -> DataFrame:
+    """frame, drawn, unsupported, offscreen, overlap, draw_limit: what became of
+    the pool of each frame. Those after the last label that may be drawn count for
+    the limit."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame([{"frame": pdf.frame.iloc[0]} | _draw(pdf, width, height, measure, limit)[1]])
+
+    kind = dict(pooled.dtypes)["frame"]
+    return pooled.groupBy("frame").applyInPandas(run, f"frame {kind}, drawn long, unsupported long, offscreen long, overlap long, draw_limit long")

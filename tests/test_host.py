@@ -157,3 +157,40 @@ def test_catalog_edges(spark):
     assert catalogs._points({"features": [{"geometry": {"coordinates": [True, 1, [2, 3]]}}]}) == [(2.0, 3.0)]
     none = spark.createDataFrame([], "ordinal long, scale string, dataset string, geometry string, url string, archive string, expected_bytes long, sha256 string")
     assert catalogs.dataset_faults(none).collect() == []
+
+
+@pytest.mark.parametrize("chunk", [1, 3, 7, 1000])
+def test_directories_in_chunks(spark, chunk):
+    from tessera.operators import directory
+
+    rng = random.Random(chunk)
+    rows, want = [], set()
+    for archive_id in range(3):
+        tile = end = 0
+        for i in range(40):
+            step, length, raw = rng.randrange(1, 9), rng.randrange(1, 50), rng.choice([0, 0, 0, rng.randrange(1, 900)])
+            tile, start = tile + step, raw - 1 if raw else end
+            end = start + length
+            rows.append((archive_id, i, step, 1, length, raw))
+            want.add((archive_id, i, tile, start))
+    df = spark.createDataFrame(rows, "archive long, i long, d_id long, run_length long, length long, raw_offset long")
+    got = directory.decode_columns(df, chunk)
+    assert {(r.archive, r.i, r.tile_id, r.offset) for r in got.collect()} == want
+    assert sorted(got.columns) == ["archive", "i", "length", "offset", "run_length", "tile_id"]
+
+
+def test_layout_counts_and_measures(spark):
+    """Every label of a pool is drawn or counted for one reason; another metric."""
+    rng = random.Random(4)
+    rows = [(f, i, rng.choice(["ab", "a long label", "x"]), rng.randrange(-5, 300), rng.randrange(-5, 200), rng.randrange(900)) for f in range(3) for i in range(90)]
+    pooled = labels.pool(spark.createDataFrame(rows, "frame int, id int, text string, x int, y int, priority int")).cache()
+    for measure, limit in ((labels.fixed_metric, 64), (lambda t: None if t == "x" else (4 * len(t), 6), 5)):
+        drawn = labels.layout(pooled, 300, 200, measure, limit).collect()
+        stats = {r.frame: r for r in labels.layout_stats(pooled, 300, 200, measure, limit).collect()}
+        for f in range(3):
+            own, r = [x for x in drawn if x.frame == f], stats[f]
+            assert len(own) == r.drawn <= limit and r.drawn + r.unsupported + r.offscreen + r.overlap + r.draw_limit == pooled.filter(f"frame = {f}").count()
+            boxes = [(x.x - measure(x.text)[0] // 2 - 4, x.y, x.x - measure(x.text)[0] // 2 + measure(x.text)[0] + 4, x.y + measure(x.text)[1] + 8) for x in own]
+            assert all(a >= 0 and b >= 0 and c <= 300 and d <= 200 for a, b, c, d in boxes)
+            assert all(p[0] >= q[2] or q[0] >= p[2] or p[1] >= q[3] or q[1] >= p[3] for i, p in enumerate(boxes) for q in boxes[:i])
+        assert limit == 64 or (any(r.draw_limit for r in stats.values()) and not any(x.text == "x" for x in drawn))
