@@ -92,23 +92,13 @@ def tile_accounts(spark, d):
 
 
 def pmtiles_roundtrip(spark, d):
-    """Tiles of five archives, written, and read by the data source: by directory
-    entries with their bytes' digest. An archive is one task's group."""
-    from tessera.sources.archive import encode_archive, read_archive, tiles
+    """Tiles of five archives, written by tasks and read by the data source: each
+    tile with the digest of its bytes."""
+    from tessera.sources.archive import read_archive, tiles, write_archives
 
     folder = _folder(spark, "archives")
-
-    def write(pdf: pd.DataFrame) -> pd.DataFrame:
-        from tessera.sources.archive import _open
-
-        tile = {int(t): f"tile {n}".encode() for t, n in zip(pdf.tile_id, pdf.content)}
-        files, at = _open(f"{folder}/a{pdf.archive.iloc[0]}.pmtiles")
-        files.create_dir(at.rpartition("/")[0], recursive=True)
-        with files.open_output_stream(at) as f:
-            f.write(encode_archive(tile, leaf_size=16, compression="gzip"))
-        return pd.DataFrame({"archive": pdf.archive[:1], "n": [len(tile)]})
-
-    take(spark, d, "stored").groupBy("archive").applyInPandas(write, "archive long, n long").count()
+    t = take(spark, d, "stored")
+    write_archives(t.select(F.concat(F.lit("a"), c("archive").cast("string")).alias("archive"), "tile_id", F.concat(F.lit("tile "), c("content").cast("string")).alias("payload")), folder, leaf_size=16)
     held = tiles(read_archive(spark, folder, "tiles"))
     name = F.regexp_extract("archive", r"a([0-9]+)\.pmtiles$", 1).cast("long")
     raw = F.pandas_udf(lambda v: v.map(lambda b: wire.decompress(b, "gzip", 1000)), "binary")(c("payload"))

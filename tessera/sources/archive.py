@@ -10,7 +10,11 @@ archive; each leaf directory is a task of its own. ``first_tile`` and
 
 from __future__ import annotations
 
+import gzip
+import hashlib
+import io
 import struct
+import uuid
 from bisect import bisect_left
 from collections.abc import Iterator
 from itertools import accumulate
@@ -204,39 +208,119 @@ def read_archive(spark: SparkSession, path: str, part: str = "tiles", **options)
     return spark.read.format("tile_archive").options(part=part, **options).load(path)
 
 
-def encode_archive(tiles: dict[int, bytes], metadata: str = "{}", leaf_size: int | None = None, compression: str = "none") -> bytes:
-    """A small archive in memory, for exports and tests: equal neighbours share a
-    run, equal payloads their bytes; with ``leaf_size``, entries are in leaves."""
-    import gzip
+def _pack(data: bytes, compression: str) -> bytes:
+    if compression not in ("none", "gzip"):
+        raise ValueError(f"compression {compression}")
+    return gzip.compress(data, mtime=0) if compression == "gzip" else bytes(data)
+
+
+class _Builder:
+    """Entries of one archive as its tiles come by id: equal neighbours share a run,
+    equal payloads their bytes. Payloads go to ``sink`` at once; what is held are
+    entries, and a digest for each different payload."""
+
+    def __init__(self, sink, compression: str):
+        self.sink, self.compression = sink, compression
+        self.rows: list[list[int]] = []
+        self.where: dict[bytes, int] = {}
+        self.size = self.tiles = 0
+
+    def add(self, tile: int, raw: bytes) -> None:
+        if self.rows and tile < self.rows[-1][0] + self.rows[-1][1]:
+            raise ValueError(f"tile {tile} comes twice or out of order")
+        payload = _pack(raw, self.compression)
+        key = hashlib.sha256(payload).digest()
+        at = self.where.get(key)
+        if at is None:
+            at = self.where[key] = self.size
+            self.sink.write(payload)
+            self.size += len(payload)
+        self.tiles += 1
+        last = self.rows[-1] if self.rows else None
+        if last and last[3] == at and last[2] == len(payload) and last[0] + last[1] == tile:
+            last[1] += 1
+        else:
+            self.rows.append([tile, 1, len(payload), at])
+
+    def front(self, metadata: str, leaf_size: int | None) -> bytes:
+        """All that stands before the payloads. Without ``leaf_size``, entries are
+        in the root if they fit there, else in the smallest leaves that do."""
+        own, code = [tuple(r) for r in self.rows], wire.COMPRESSIONS.index(self.compression)
+        sizes = [leaf_size] if leaf_size else [0, *(1 << i for i in range(9, 40))]
+        for size in sizes:
+            root, leaves = own, b""
+            if size:
+                root = []
+                for i in range(0, len(own), size):
+                    leaf = _pack(encode_entries(own[i : i + size]), self.compression)
+                    root.append((own[i][0], 0, len(leaf), len(leaves)))
+                    leaves += leaf
+            top = _pack(encode_entries(root), self.compression)
+            if len(top) <= MAX_ROOT:
+                break
+        else:
+            raise ValueError("the root directory is too large")
+        meta = _pack(metadata.encode(), self.compression)
+        zoom = np.searchsorted(_BEFORE, [own[0][0], own[-1][0] + own[-1][1] - 1], "right") - 1 if own else [0, 0]
+        at = list(accumulate((HEADER.size, len(top), len(meta), len(leaves))))
+        head = HEADER.pack(b"PMTiles", 3, at[0], len(top), at[1], len(meta), at[2], len(leaves), at[3], self.size, self.tiles, len(own), len(self.where), 1, code, code, 1, int(zoom[0]), int(zoom[1]), -1800000000, -850511300, 1800000000, 850511300, 0, 0, 0)
+        return head + top + meta + leaves
+
 
-    pack = (lambda b: gzip.compress(b, mtime=0)) if compression == "gzip" else bytes
-    rows: list[list[int]] = []
-    data, where = bytearray(), {}
+def encode_archive(tiles: dict[int, bytes], metadata: str = "{}", leaf_size: int | None = None, compression: str = "none") -> bytes:
+    """A small archive in memory, for exports and tests."""
+    data = io.BytesIO()
+    builder = _Builder(data, compression)
     for tile, raw in sorted(tiles.items()):
-        payload = pack(raw)
-        if payload not in where:
-            where[payload] = len(data)
-            data += payload
-        at = where[payload]
-        if rows and rows[-1][3] == at and rows[-1][2] == len(payload) and rows[-1][0] + rows[-1][1] == tile:
-            rows[-1][1] += 1
-        else:
-            rows.append([tile, 1, len(payload), at])
-    own, leaves = [tuple(r) for r in rows], b""
-    if leaf_size:
-        parts, root = [own[i : i + leaf_size] for i in range(0, len(own), leaf_size)], []
-        for p in parts:
-            leaf = pack(encode_entries(p))
-            root.append((p[0][0], 0, len(leaf), len(leaves)))
-            leaves += leaf
-    else:
-        root = own
-    top, meta = pack(encode_entries(root)), pack(metadata.encode())
-    zoom = np.searchsorted(_BEFORE, list(tiles), "right") - 1 if tiles else [0]
-    at = list(accumulate((HEADER.size, len(top), len(meta), len(leaves))))
-    code = wire.COMPRESSIONS.index(compression)
-    head = HEADER.pack(b"PMTiles", 3, at[0], len(top), at[1], len(meta), at[2], len(leaves), at[3], len(data), len(tiles), len(rows), len(where), 1, code, code, 1, int(min(zoom)), int(max(zoom)), -1800000000, -850511300, 1800000000, 850511300, 0, 0, 0)
-    return head + top + meta + leaves + bytes(data)
+        builder.add(tile, raw)
+    return builder.front(metadata, leaf_size) + data.getvalue()
+
+
+def write_archives(tiles: DataFrame, directory: str, metadata: str = "{}", leaf_size: int | None = None, compression: str = "gzip") -> DataFrame:
+    """Write ``tiles`` (archive, tile_id, payload) as ``directory``/<archive>.pmtiles
+    and return archive, tiles, entries, contents, bytes of each.
+
+    Archives are dealt to tasks and written side by side; an archive is one task's
+    file, in the order of its tiles, and its payloads are on disk, not in memory. A
+    file has its name only when it is whole, so a task that is lost and begun again
+    does no harm. A tile that comes twice is an error. The directory is one that
+    all executors share."""
+
+    def run(batches):
+        name = builder = sink = None
+
+        def done():
+            sink.close()
+            files, where = _open(f"{directory.rstrip('/')}/{name}.pmtiles")
+            parts, rest = _open(part)
+            with files.open_output_stream(where + mark) as out, parts.open_input_stream(rest) as held:
+                front = builder.front(metadata, leaf_size)
+                out.write(front)
+                while piece := held.read(READ_AHEAD):
+                    out.write(piece)
+            files.move(where + mark, where)
+            parts.delete_file(rest)
+            return pa.RecordBatch.from_pylist([{"archive": name, "tiles": builder.tiles, "entries": len(builder.rows), "contents": len(builder.where), "bytes": len(front) + builder.size}])
+
+        for batch in batches:
+            for archive, tile, payload in zip(*(batch.column(i).to_pylist() for i in range(3))):
+                if archive != name:
+                    if builder:
+                        yield done()
+                    name, mark = archive, f".{uuid.uuid4().hex}"
+                    part = f"{directory.rstrip('/')}/.{name}{mark}"
+                    files, where = _open(part)
+                    files.create_dir(where.rpartition("/")[0], recursive=True)
+                    sink = files.open_output_stream(where)
+                    builder = _Builder(sink, compression)
+                builder.add(tile, payload)
+        if builder:
+            yield done()
+
+    rows = tiles.select(F.col("archive").cast("string"), F.col("tile_id").cast("long"), F.col("payload").cast("binary"))
+    told = rows.repartition("archive").sortWithinPartitions("archive", "tile_id").mapInArrow(run, "archive string, tiles long, entries long, contents long, bytes long")
+    held = told.toArrow()  # a row for each file
+    return tiles.sparkSession.createDataFrame(held)
 
 
 # -- tiles and features -------------------------------------------------------

@@ -194,3 +194,22 @@ def test_layout_counts_and_measures(spark):
             assert all(a >= 0 and b >= 0 and c <= 300 and d <= 200 for a, b, c, d in boxes)
             assert all(p[0] >= q[2] or q[0] >= p[2] or p[1] >= q[3] or q[1] >= p[3] for i, p in enumerate(boxes) for q in boxes[:i])
         assert limit == 64 or (any(r.draw_limit for r in stats.values()) and not any(x.text == "x" for x in drawn))
+
+
+def test_archives_are_written_by_tasks(spark, tmp_path):
+    rng = random.Random(12)
+    rows = [(f"x{a}", archive.tile_id(6, i % 64, i // 64), bytearray(rng.choice([b"sea", b"land", b"t%d" % i]))) for a in range(4) for i in range(700)]
+    rng.shuffle(rows)
+    tiles = spark.createDataFrame(rows, "archive string, tile_id long, payload binary").repartition(5)
+    told = archive.write_archives(tiles, f"file://{tmp_path}/out", leaf_size=None).collect()
+    assert sorted(os.listdir(tmp_path / "out")) == [f"x{a}.pmtiles" for a in range(4)]
+    assert {r.archive for r in told} == {f"x{a}" for a in range(4)} and all(r.tiles == 700 and r.contents < r.entries <= 700 for r in told)
+    assert {r.archive: r.bytes for r in told} == {f"x{a}": os.path.getsize(tmp_path / f"out/x{a}.pmtiles") for a in range(4)}
+    got = archive.tiles(archive.read_archive(spark, f"file://{tmp_path}/out")).collect()
+    assert {(os.path.basename(r.archive)[:2], r.tile_id, gzip.decompress(bytes(r.payload))) for r in got} == {(a, t, bytes(p)) for a, t, p in rows}
+    header = archive.read_archive(spark, f"file://{tmp_path}/out", "header").first()
+    assert (header.min_zoom, header.max_zoom, header.addressed_tiles_count) == (6, 6, 700) and header.root_dir_length <= archive.MAX_ROOT
+    big = archive.encode_archive({i * 3: b"%d" % i for i in range(30_000)}, compression="none")
+    assert archive._at(big)["root_dir_length"] <= archive.MAX_ROOT and archive._at(big)["leaf_dirs_length"] > 0
+    with pytest.raises(Exception):
+        archive.write_archives(tiles.union(tiles), f"file://{tmp_path}/twice")
