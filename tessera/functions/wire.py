@@ -36,23 +36,27 @@ def varint(data: bytes, at: int) -> tuple[int, int]:
 
 
 def varints(data: bytes) -> list[int]:
-    """All numbers of packed bytes, at once: short ones by numpy."""
+    """All numbers of packed bytes; many of them at once."""
+    if len(data) < 48:
+        out, at = [], 0
+        while at < len(data):
+            value, at = varint(data, at)
+            out.append(value)
+        return out
     raw = np.frombuffer(data, np.uint8)
     ends = np.flatnonzero(raw < 0x80)
-    if not len(raw):
-        return []
     if not len(ends) or ends[-1] != len(raw) - 1:
         raise ValueError("bad varint")
     starts = np.concatenate([[0], ends[:-1] + 1])
     longest = int((ends - starts).max()) + 1
     if longest > 10:
         raise ValueError("bad varint")
-    out = np.zeros(len(ends), np.uint64)
+    total = np.zeros(len(ends), np.uint64)
     for i in range(longest):
         at = starts + i
         held = at <= ends
-        out[held] |= (raw[at[held]] & 0x7F).astype(np.uint64) << np.uint64(7 * i)
-    return out.tolist()
+        total[held] |= (raw[at[held]] & 0x7F).astype(np.uint64) << np.uint64(7 * i)
+    return total.tolist()
 
 
 def to_varint(value: int) -> bytes:

@@ -131,8 +131,8 @@ def test_gzip_report_and_varints():
     assert wire.gzip_report(named, 500) == ("ok", 500, True)
     rng = random.Random(2)
     numbers = [rng.getrandbits(rng.choice([1, 7, 8, 31, 64])) for _ in range(500)]
-    assert wire.varints(b"".join(map(wire.to_varint, numbers))) == numbers and wire.varints(b"") == []
-    for bad in (b"\x80", b"\x01\xff", b"\x80" * 10 + b"\x01"):
+    assert wire.varints(b"".join(map(wire.to_varint, numbers))) == numbers and wire.varints(b"") == [] and wire.varints(b"\x05\x80\x01") == [5, 128]
+    for bad in (b"\x80", b"\x01\xff", b"\x80" * 10 + b"\x01", b"\x01" * 60 + b"\xff", b"\x01" * 60 + b"\x80" * 10 + b"\x01"):
         with pytest.raises(ValueError):
             wire.varints(bad)
 
