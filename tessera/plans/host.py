@@ -8,13 +8,12 @@ import gzip
 import io
 import zipfile
 
-import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import functions as F
 
 from tessera.functions import camera, geo, kinds, wire
-from tessera.operators import catalogs, directory, geometry, inspect, labels, manifests, packs, provenance, raster, render
+from tessera.operators import catalogs, directory, inspect, labels, manifests, provenance, raster, render
 from tessera.plans import host_inputs as i
 from tessera.plans import queries as q
 from tessera.plans import surrogate as s
@@ -478,5 +477,3 @@ def metric_records(spark, d):
     t = take(spark, d, "frames")
     return inspect.metric_lines(t, "frame", "frame", "scenario", "ms", "heap").withColumnRenamed("value", "line")
 
-
-NAMES = [n for n, f in list(globals().items()) if callable(f) and getattr(f, "__module__", "") == __name__ and not n.startswith("_") and n not in ("take", "texts")]
