@@ -89,10 +89,6 @@ def releasing(run):
     return whole
 
 
-def id_text(doc_id: str = "doc_id"):
-    return F.col(doc_id).cast("string")
-
-
 def held_out(doc_id: str, modulus: int, remainder: int):
     """crc32 of the id as text, modulo ``modulus``; a null id is not held out."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % modulus == remainder, F.lit(False))
