@@ -4,8 +4,9 @@
 or a folder of ``*.pmtiles``. Parts: ``header``, ``metadata``, ``directory`` (one
 row per entry, leaves resolved) and ``tiles`` (entries with their stored bytes).
 The driver reads headers and root directories only, at most 16 KB for each
-archive; each leaf directory is a task of its own. ``first_tile`` and
-``last_tile`` bound the ids: leaves and bytes outside aren't read.
+archive; a task takes neighbouring leaf directories, up to about ``TASK_ENTRIES``
+entries or ``TASK_BYTES`` of tiles as the header counts them, and no leaf is cut.
+``first_tile`` and ``last_tile`` bound the ids: leaves and bytes outside aren't read.
 """
 
 from __future__ import annotations
@@ -34,6 +35,7 @@ HEADER = struct.Struct("<7sB11Q6B4iB2i")
 NAMES = ("version root_dir_offset root_dir_length metadata_offset metadata_length leaf_dirs_offset leaf_dirs_length tile_data_offset tile_data_length addressed_tiles_count tile_entries_count tile_contents_count clustered internal_compression tile_compression tile_type min_zoom max_zoom min_lon_e7 min_lat_e7 max_lon_e7 max_lat_e7 center_zoom center_lon_e7 center_lat_e7").split()
 MAX_ROOT, MAX_HOPS, MAX_METADATA = 16_384, 8, 64 << 20
 READ_AHEAD = 4 << 20
+TASK_ENTRIES, TASK_BYTES, TASK_DIRECTORIES = 1 << 14, 32 << 20, 1 << 20
 
 SCHEMAS = {
     "header": "archive string, " + ", ".join(f"{n} {'string' if n.endswith('_compression') else 'boolean' if n == 'clustered' else 'int' if n.endswith('_e7') or n.endswith('zoom') or n in ('version', 'tile_type') else 'long'}" for n in NAMES),
@@ -110,10 +112,27 @@ def _archives(path: str) -> list[str]:
 
 
 class _Piece(InputPartition):
-    """A directory of an archive, or (without one) entries of its root."""
+    """Leaf directories of an archive (offset, length), or (without them) entries of
+    its root."""
 
-    def __init__(self, archive: str, head: dict, rows: list | None, leaf: tuple[int, int] | None):
-        self.archive, self.head, self.rows, self.leaf = archive, head, rows, leaf
+    def __init__(self, archive: str, head: dict, rows: list | None, leaves: list[tuple[int, int]] | None):
+        self.archive, self.head, self.rows, self.leaves = archive, head, rows, leaves
+
+
+def _dealt(head: dict, leaves: list[tuple[int, int]], whole: int) -> Iterator[list[tuple[int, int]]]:
+    """``leaves`` in their order, as many together as a task takes. The header's
+    counts are spread over the ``whole`` bytes of leaves that the root names; where
+    it counts nothing, the bytes of leaves alone are bounded."""
+    share = max(head["tile_entries_count"] / TASK_ENTRIES, head["tile_data_length"] / TASK_BYTES, whole / TASK_DIRECTORIES) / max(1, whole)
+    held, load = [], 0.0
+    for leaf in leaves:
+        if held and load + leaf[1] * share > 1:
+            yield held
+            held, load = [], 0.0
+        held.append(leaf)
+        load += leaf[1] * share
+    if held:
+        yield held
 
 
 class _Reader(DataSourceReader):
@@ -142,25 +161,36 @@ class _Reader(DataSourceReader):
                 if self.part in ("header", "metadata"):
                     out.append(_Piece(archive, head, None, None))
                     continue
-                root = self._load(f, head, head["root_dir_offset"], head["root_dir_length"])
+                root = self._load(f.read_at(head["root_dir_length"], head["root_dir_offset"]), head)
             if rows := [r for r in root if r[1]]:
                 out.append(_Piece(archive, head, rows, None))
             ends = [r[0] - 1 for r in root[1:]] + [(1 << 63) - 1]
-            out.extend(_Piece(archive, head, None, (r[3], r[2])) for r, end in zip(root, ends) if not r[1] and self.asked(r[0], end + 1))
+            leaves = [(r[3], r[2]) for r, end in zip(root, ends) if not r[1] and self.asked(r[0], end + 1)]
+            out.extend(_Piece(archive, head, None, some) for some in _dealt(head, leaves, sum(r[2] for r in root if not r[1])))
         return out or [_Piece("", {}, [], None)]
 
     @staticmethod
-    def _load(f, head, offset, length):
-        return entries(wire.decompress(f.read_at(length, offset), head["internal_compression"], wire.MAX_DIRECTORY))
+    def _load(data, head):
+        return entries(wire.decompress(data, head["internal_compression"], wire.MAX_DIRECTORY))
 
-    def _leaf(self, f, head, at, hops):
+    def _leaves(self, f, head, leaves, hops):
+        """Entries of ``leaves``; those that lie side by side are read at once."""
         if hops > MAX_HOPS:
             raise ValueError("directories nest too deep")
-        for r in self._load(f, head, head["leaf_dirs_offset"] + at[0], at[1]):
-            if r[1]:
-                yield r
-            else:
-                yield from self._leaf(f, head, (r[3], r[2]), hops + 1)
+        at = 0
+        while at < len(leaves):
+            end, (start, size) = at + 1, leaves[at]
+            while end < len(leaves) and leaves[end][0] == start + size and size + leaves[end][1] <= READ_AHEAD:
+                size += leaves[end][1]
+                end += 1
+            held = f.read_at(size, head["leaf_dirs_offset"] + start)
+            for offset, length in leaves[at:end]:
+                for r in self._load(held[offset - start : offset - start + length], head):
+                    if r[1]:
+                        yield r
+                    else:
+                        yield from self._leaves(f, head, [(r[3], r[2])], hops + 1)
+            at = end
 
     def read(self, piece: _Piece) -> Iterator[tuple]:
         head = piece.head
@@ -175,7 +205,7 @@ class _Reader(DataSourceReader):
                 raw = f.read_at(head["metadata_length"], head["metadata_offset"])
                 yield piece.archive, wire.decompress(raw, head["internal_compression"], MAX_METADATA).decode("utf-8", "replace") if raw else ""
                 return
-            rows = piece.rows if piece.leaf is None else self._leaf(f, head, piece.leaf, 1)
+            rows = piece.rows if piece.leaves is None else self._leaves(f, head, piece.leaves, 1)
             rows = [r for r in rows if self.asked(r[0], r[0] + r[1])]
             if self.part == "directory":
                 for tile, run, length, offset in rows:

@@ -102,3 +102,23 @@ def test_bad_archives_fail(spark, tmp_path):
     (tmp_path / "x.pmtiles").write_bytes(b"PMTiles\x02" + bytes(200))
     with pytest.raises(Exception, match="version 3"):
         A.read_archive(spark, str(tmp_path / "x.pmtiles"), "header").collect()
+
+
+def test_neighbouring_leaves_share_a_task(tmp_path, monkeypatch):
+    raw = {3 * i: b"tile %d" % (i % 7) for i in range(4000)}
+    (tmp_path / "a.pmtiles").write_bytes(A.encode_archive(raw, leaf_size=4, compression="gzip"))
+    reader = lambda **options: A._Reader({"path": str(tmp_path / "a.pmtiles")} | options)
+    held = lambda r: sorted((row[1], wire.decompress(row[6], "gzip", 99)) for piece in r.partitions() for row in r.read(piece))
+    assert len(reader().partitions()) == 1  # of 1,000 leaves
+    assert held(reader()) == sorted(raw.items())
+    z, x, y = A.tile_places(np.array([0, 5997, 11997]))
+    for entries, size, least in ((400, 1 << 30, 10), (1 << 30, 40, 2), (1, 1, 1000)):
+        monkeypatch.setattr(A, "TASK_ENTRIES", entries)
+        monkeypatch.setattr(A, "TASK_BYTES", size)
+        assert least <= len(reader().partitions()) <= 1.5 * least + 3
+        assert held(reader()) == sorted(raw.items())
+        assert held(reader(first_tile="300", last_tile="6000")) == [(k, v) for k, v in raw.items() if 300 <= k <= 6000]
+        assert held(reader(tiles=",".join(map("{}/{}/{}".format, z, x, y)))) == [(k, raw[k]) for k in (0, 5997, 11997)]
+    uncounted = {"tile_entries_count": 0, "tile_data_length": 0}
+    assert list(A._dealt(uncounted, [(0, 10), (10, 10)], 20)) == [[(0, 10), (10, 10)]]
+    assert len(list(A._dealt(uncounted, [(i << 19, 1 << 19) for i in range(8)], 8 << 19))) == 4
