@@ -44,9 +44,10 @@ def read_records(spark: SparkSession, directory: str) -> DataFrame:
 
 def registered(records: DataFrame) -> DataFrame:
     """``records`` with ``place``: 1 for the first file by name of each id; broken
-    files and records without id have none."""
+    files and records without id have none. A folder has a name once; records of
+    one name and id are ordered by their fields, whatever order they come in."""
     usable = ~c("broken") & (F.coalesce(c("id"), F.lit("")) != "")
-    order = Window.partitionBy("id", usable).orderBy("file")
+    order = Window.partitionBy("id", usable).orderBy("file", "stem", *TEXTS, *RIGHTS, *POLICY)
     return records.withColumn("place", F.when(usable, F.row_number().over(order)))
 
 

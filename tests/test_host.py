@@ -213,3 +213,20 @@ def test_archives_are_written_by_tasks(spark, tmp_path):
     assert archive._at(big)["root_dir_length"] <= archive.MAX_ROOT and archive._at(big)["leaf_dirs_length"] > 0
     with pytest.raises(Exception):
         archive.write_archives(tiles.union(tiles), f"file://{tmp_path}/twice")
+
+
+@pytest.mark.parametrize("backwards", [False, True])
+def test_audit_of_equal_names_does_not_depend_on_row_order(spark, tmp_path, backwards):
+    """Names hold six digits of a key: 100000 and 1000000 to 1000009 share one."""
+    import duckdb
+
+    from tessera import catalog
+
+    con = duckdb.connect()
+    con.execute("CREATE TABLE part AS SELECT * REPLACE (k AS p_partkey) FROM (SELECT *, row_number() OVER (ORDER BY p_partkey) AS n FROM '/root/testdata/sf0.001/part.parquet') p JOIN (SELECT row_number() OVER (ORDER BY k) AS n, k FROM (SELECT unnest(range(100000, 100006)) AS k UNION ALL SELECT unnest(range(1000000, 1000014)))) USING (n)")
+    con.execute(f"COPY (SELECT * EXCLUDE (n, k) FROM part ORDER BY p_partkey {'DESC' if backwards else ''}) TO '{tmp_path}/part.parquet' (FORMAT parquet)")
+    sql = catalog.ORACLE["provenance_audit"]
+    rest = ", ".join(f"{x} NULLS FIRST" for x in ("stem", *provenance.TEXTS, *provenance.RIGHTS, *provenance.POLICY))
+    want = con.execute(sql.replace("ORDER BY file", f"ORDER BY file, {rest}")).fetchall()
+    assert len({w[0] for w in want}) < 20
+    assert sorted(map(tuple, catalog.QUERIES["provenance_audit"](spark, str(tmp_path)).collect())) == sorted(want)
